@@ -206,5 +206,4 @@ PROFILE_DEGREE_WORDS = ["degree", "master", "bachelor", "diploma", "phd"]
 
 # --- character classes, by rule
 WHITESPACE = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
-COMBINING_MARK_PATTERN = r"\p{M}"
-assert unicodedata.normalize("NFC", "à") == "à"
+ALWAYS_COMPOSED_PATTERN = r"^[\u0000-\u02ff]*$"

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from talentweave import constants as K
 
@@ -73,7 +74,7 @@ def fix_characters(c: Column) -> Column:
     return F.translate(c, "".join(K.CHARACTER_FIXES), "".join(K.CHARACTER_FIXES.values()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose_unicode(text: pd.Series) -> pd.Series:
     """NFC. Spark has no built-in for it."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

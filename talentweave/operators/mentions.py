@@ -16,54 +16,76 @@ MODEL_BATCH = 8
 MENTION_SCHEMA = "doc_id string, chunk int, start int, end int, kind string, value string, error string"
 
 
-def chunk_words(
-    docs: DataFrame, text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP
-) -> DataFrame:
-    """Windows of ``size`` words that share ``overlap`` words with the next one.
+def token_windows(docs: DataFrame, tokens: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Windows of ``size`` tokens that share ``overlap`` tokens: ``(doc_id, chunk, offset, tokens)``.
 
-    ``offset`` is the character position of the window in the text with single blanks. A word is in at most
-    two windows, and a window is made from the words of one row, without a shuffle.
+    A token is a word with the blanks behind it, so offsets are sums of token lengths. A token is in at most
+    two windows, and a window is made from the tokens of one row, without a shuffle.
     """
     step = size - overlap
-    words = docs.select("doc_id", T.words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
-    # A window starts every `step` words; the stretch before it has a known length.
-    starts = words.withColumn("_at", F.sequence(F.lit(0), F.size("words") - 1, F.lit(step)))
-    lengths = F.transform("_at", lambda a: F.length(F.array_join(F.slice("words", a + 1, step), " ")) + 1)
+    split = docs.select("doc_id", tokens.alias("_tokens")).where(F.size("_tokens") > 0)
+    starts = split.withColumn("_at", F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(step)))
+    lengths = F.transform("_at", lambda a: F.length(F.array_join(F.slice("_tokens", a + 1, step), "")))
     measured = starts.withColumn("_len", lengths)
     cut = F.transform(
         "_at",
         lambda a, i: F.struct(
             i.cast("int").alias("chunk"),
             F.aggregate(F.slice("_len", 1, i), F.lit(0), lambda x, y: x + y).alias("offset"),
-            F.slice("words", a + 1, size).alias("words"),
+            F.slice("_tokens", a + 1, size).alias("tokens"),
         ),
     )
-    return (
-        measured.select("doc_id", F.explode(cut).alias("c"))
-        .select("doc_id", "c.chunk", "c.offset", F.size("c.words").alias("n_words"), F.array_join("c.words", " ").alias("text"))
-    )
+    return measured.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.*")
+
+
+def spaced_words(c: Column) -> Column:
+    """Words, each with one blank behind it."""
+    return F.transform(T.words_of(c), lambda w: F.concat(w, F.lit(" ")))
+
+
+def original_words(c: Column) -> Column:
+    """Words, each with the blanks that follow it in the text; together they are the text."""
+    return F.split(c, r"(?U)(?<=\s)(?=\S)")
 
 
-def extract_mentions(docs: DataFrame, terms: DataFrame, text: str = "text", longest: int = 3) -> DataFrame:
+def chunk_words(
+    docs: DataFrame, text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP
+) -> DataFrame:
+    """Windows of words as text: ``(doc_id, chunk, offset, n_words, text)``.
+
+    ``offset`` is the character position of the window in the text with single blanks.
+    """
+    windows = token_windows(docs, spaced_words(F.col(text)), size, overlap)
+    return windows.select("doc_id", "chunk", "offset", F.size("tokens").alias("n_words"), T.strip(F.array_join("tokens", "")).alias("text"))
+
+
+def extract_mentions(
+    docs: DataFrame, terms: DataFrame, text: str = "text", longest: int = 3, original_offsets: bool = False
+) -> DataFrame:
     """Occurrences of ``terms (term, kind)`` of up to ``longest`` words, once each.
 
     Word runs of each window meet the terms in an equi-join; whether the terms are broadcast is left to
-    Spark's size check. Offsets refer to the text with single blanks.
+    Spark's size check. Offsets refer to the text with single blanks, or to the text as it is.
     """
-    chunks = chunk_words(docs, text)
-    words = chunks.select("doc_id", "offset", "text", F.split("text", " ").alias("words"))
-
-    def at_word(w: Column, i: Column) -> Column:
-        lead = F.length(F.call_function("substring_index", F.col("text"), F.lit(" "), i)) + F.when(i > 0, 1).otherwise(0)
-        runs = [
-            F.when(i + n <= F.size("words"), F.array_join(F.slice("words", i + 1, n), " ")) for n in range(2, longest + 1)
-        ]
-        return F.struct((F.col("offset") + lead).cast("int").alias("start"), F.array_compact(F.array(w, *runs)).alias("runs"))
-
-    placed = words.select("doc_id", F.explode(F.transform("words", at_word)).alias("w"))
-    grams = placed.select("doc_id", "w.start", F.explode("w.runs").alias("value"))
+    tokens = original_words(F.col(text)) if original_offsets else spaced_words(F.col(text))
+    windows = token_windows(docs, tokens)
+
+    def at_token(token: Column, i: Column) -> Column:
+        start = F.col("offset") + F.length(F.array_join(F.slice("tokens", 1, i), ""))
+        runs = F.array(*[
+            F.when(i + n <= F.size("tokens"), T.strip(F.array_join(F.slice("tokens", i + 1, n), "")))
+            for n in range(1, longest + 1)
+        ])
+        return F.struct(start.cast("int").alias("start"), F.array_compact(runs).alias("runs"))
+
+    placed = windows.select("doc_id", F.explode(F.transform("tokens", at_token)).alias("w"))
+    grams = placed.select("doc_id", "w.start", F.explode("w.runs").alias("run"))
+    if original_offsets:
+        grams = grams.select("doc_id", "start", F.length("run").alias("_len"), T.squeeze(F.col("run")).alias("value"))
+    else:
+        grams = grams.select("doc_id", "start", F.length("run").alias("_len"), F.col("run").alias("value"))
     hits = grams.join(terms.select(F.col("term").alias("value"), "kind"), "value")
-    found = hits.select("doc_id", "start", (F.col("start") + F.length("value")).alias("end"), "kind", "value")
+    found = hits.select("doc_id", "start", (F.col("start") + F.col("_len")).alias("end"), "kind", "value")
     return found.dropDuplicates(["doc_id", "start", "end", "kind", "value"])
 
 

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from talentweave import constants as K
 from talentweave.functions.levels import experience_gap, gap_penalty, level_number
@@ -101,7 +102,7 @@ def partial_ratio(a: str, b: str) -> int:
     return int(round(100 * best))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def partial_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
 

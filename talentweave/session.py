@@ -66,3 +66,16 @@ def written_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
         build().write.mode("errorifexists").parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
+
+
+_landed: dict[tuple[str, str, str], str] = {}
+
+
+def landed_once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of input files that ``write(path)`` makes the first time."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _landed:
+        path = fresh_path(spark, name)
+        write(path)
+        _landed[key] = path
+    return _landed[key]
