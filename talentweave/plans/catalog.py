@@ -532,7 +532,7 @@ def role_prefix(v: Views) -> DataFrame:
 
 @query
 def normalize_chars(v: Views) -> DataFrame:
-    rows = documents(v).select("doc_id", F.concat(F.lit("é – — "), "text").alias("text"))
+    rows = documents(v).select("doc_id", F.concat(F.lit("e\u0301 \u2013 \u2014\u00a0"), "text").alias("text"))
     return L.normalize_chars(rows).select("doc_id", digest("text"))
 
 
@@ -1127,7 +1127,7 @@ def topics_to_tables(v: Views) -> DataFrame:
     folder, checkpoints = fresh_path(v.spark, "tables"), fresh_path(v.spark, "tables-checkpoints")
     for run in SP.topics_to_tables(v.spark, source, folder, checkpoints, SP.DECODERS, available_now=True):
         run.awaitTermination()
-    shown = {"text_cv": "text", "text_job": "text", "info_cv": "email", "schema_cv": "skills", "schema_job": "title"}
+    shown = {"text_cv": "source", "text_job": "text", "info_cv": "email", "schema_cv": "source", "schema_job": "title"}
     out = None
     for name, column in shown.items():
         one = v.spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("table"), "id", F.col(column).alias("value"))

@@ -206,14 +206,15 @@ _TERMS = """
     ) WHERE length(term) > 10
     UNION SELECT array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark"""
 _ISLANDS = """
-    SELECT doc_id, kind, count(*) AS n, sum(lo)::BIGINT AS starts, sum(hi)::BIGINT AS ends, sum(hi - lo)::BIGINT AS chars FROM (
-        SELECT doc_id, kind, island, min(start) AS lo, max(start + length(w)) AS hi FROM (
+    SELECT doc_id, kind, count(*) AS n, sum(lo)::BIGINT AS starts, sum(hi)::BIGINT AS ends, sum(length(trim(said)))::BIGINT AS chars FROM (
+        SELECT doc_id, kind, island, min(start) AS lo, max(start + length(w)) AS hi,
+               string_agg(CASE WHEN w LIKE '##%' THEN '' ELSE ' ' END || replace(w, '##', ''), '' ORDER BY i) AS said FROM (
             SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (
                 SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM (
                     SELECT *, CASE WHEN length(w) > 4 THEN 'LONG' ELSE 'SHORT' END AS kind FROM word)))
         GROUP BY doc_id, kind, island) GROUP BY doc_id, kind"""
 _MESSY = "' - | * ' || replace(text, ' the ', ' - the | ') || ' ;: '"
-_DASHES = "'é – — '"
+_DASHES = "'e' || chr(769) || ' ' || chr(8211) || ' ' || chr(8212) || chr(160)"
 
 RAW: dict[str, str] = {
     # sources
@@ -340,7 +341,7 @@ RAW: dict[str, str] = {
         SELECT p.doc_id, 'right', md5(concat_ws(chr(10), p.name, {initcap('p.first_title')}, {letters(initcap('p.location'))}, 'Experience', j.said,
                'Education' || chr(10) || 'University of ' || {letters(initcap('p.r_name'))}, 'Bachelor of Science · (' || p.edu_year || ')', 'Page 3 of 3'))
         FROM page p JOIN (SELECT doc_id, string_agg(concat_ws(chr(10), company, title, 'January ' || y || ' - March ' || (y + 1) || ' (1 year 3 months)',
-                          'Italy – Trento'), chr(10) ORDER BY pos) AS said FROM page_job GROUP BY doc_id) j ON j.doc_id = p.doc_id""",
+                          'Italy' || chr(160) || '– Trento'), chr(10) ORDER BY pos) AS said FROM page_job GROUP BY doc_id) j ON j.doc_id = p.doc_id""",
     "slice_sections_dataset": f"""
         SELECT doc_id, 'Experience' AS section, md5(string_agg(company || '  ' || {_CAP} || '  ' || period, '   ' ORDER BY pos)) AS digest FROM page_job GROUP BY doc_id
         UNION ALL SELECT doc_id, 'Education', md5('University of ' || {letters(initcap('r_name'))} || '  Bachelor  ' || edu_year) FROM page
@@ -413,9 +414,9 @@ RAW: dict[str, str] = {
                split_part(place, ', ', 1) || ', ' || split_part(split_part(place, ', ', 2), ' ', 1) AS raw_location
         FROM (SELECT num, {letters(initcap('location'))} AS place FROM profile)""",
     "chunk_words": f"""
-        SELECT doc_id, (at // 150)::INT AS chunk, (length(array_to_string(ws[1:at], ' ')) + CASE WHEN at > 0 THEN 1 ELSE 0 END)::INT AS offset,
-               len(ws[at + 1:at + 200])::INT AS n_words, md5(array_to_string(ws[at + 1:at + 200], ' ')) AS digest
-        FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 150)) AS at FROM (SELECT doc_id, {words('text')} AS ws FROM documents))""",
+        SELECT doc_id, (p // 150)::INT AS chunk, (length(array_to_string(ws[1:p], ' ')) + CASE WHEN p > 0 THEN 1 ELSE 0 END)::INT AS "offset",
+               len(ws[p + 1:p + 200])::INT AS n_words, md5(array_to_string(ws[p + 1:p + 200], ' ')) AS digest
+        FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 150)) AS p FROM (SELECT doc_id, {words('text')} AS ws FROM documents))""",
     "extract_mentions": f"""
         SELECT g.doc_id, g.start::INT AS start, (g.start + length(g.value))::INT AS "end", 'TERM' AS kind, g.value FROM (
             SELECT doc_id, start, w AS value FROM word
@@ -518,6 +519,7 @@ RAW["topics_to_tables"] = f"""
            || array_to_string(CASE WHEN len(skills) > 1 THEN list_concat(skills, ['teamwork']) ELSE skills END, ' ') AS value
     FROM (SELECT id, company, title, skills, CASE WHEN location LIKE '%, ASIA' THEN split_part(location, ', ', 1) ELSE location END AS location FROM posting_record)
     UNION ALL SELECT 'schema_job', id, title FROM posting
-    UNION ALL SELECT 'info_cv', concat('A', doc_id), email FROM page"""
+    UNION ALL SELECT 'info_cv', concat('A', doc_id), email FROM page
+    UNION ALL SELECT unnest(['text_cv', 'schema_cv']), concat('A', doc_id), 'json_dataset' FROM page"""
 
 ORACLES: dict[str, str] = {name: with_views(sql) for name, sql in RAW.items()}

@@ -224,7 +224,7 @@ class Views:
             F.lit("January "), j["y"].cast("string"), F.lit(" - March "), (j["y"] + 1).cast("string"),
             F.lit(" (1 year 3 months)"),
         )
-        job_text = lambda j: F.concat_ws("\n", j["company"], j["title"], span(j), F.lit("Italy – Trento"))
+        job_text = lambda j: F.concat_ws("\n", j["company"], j["title"], span(j), F.lit("Italy\u00a0– Trento"))
         jobs = F.transform(
             "jobs",
             lambda j, i: F.struct(

@@ -37,14 +37,15 @@ def read_posting_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one record: ``raw_data`` and its ``path``."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("value").alias("raw_data"), F.col("_metadata.file_path").alias("path"))
 
 
 def read_binary_base64(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one record: its bytes as base64 text and its ``path``."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return rows.select(F.base64("content").alias("raw_data"), "path")
+    # Depending on the session, base64 breaks its output into lines.
+    return rows.select(F.replace(F.base64("content"), F.lit("\r\n"), F.lit("")).alias("raw_data"), "path")
 
 
 def _jsonl_envelope(spark: SparkSession, path: str, column: str) -> DataFrame:
@@ -54,7 +55,7 @@ def _jsonl_envelope(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 def _json_envelope(spark: SparkSession, path: str, column: str) -> DataFrame:
     # A string field keeps a nested object as its JSON text.
-    body = spark.read.option("wholetext", True).text(path).select(T.strip(F.col("value")).alias("value"))
+    body = spark.read.text(path, wholetext=True).select(T.strip(F.col("value")).alias("value"))
     listed = F.from_json(F.when(F.startswith("value", F.lit("[")), F.col("value")), "array<string>")
     return body.select(F.explode(F.coalesce(listed, F.array("value"))).alias("raw_data"))
 
