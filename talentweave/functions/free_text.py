@@ -34,7 +34,7 @@ def _last_reversed(values: Column, n: int) -> Column:
 
 def _between(c: Column, low: int, high: int) -> Column:
     """Value when its length is above ``low`` and below ``high``, else null."""
-    return F.when((F.length(c) > low) & (F.length(c) < high), c)
+    return T.let(c, lambda x: F.when((F.length(x) > low) & (F.length(x) < high), x))
 
 
 def mark_sections(c: Column) -> Column:
@@ -47,20 +47,20 @@ def mark_sections(c: Column) -> Column:
 
 def keyword_label(content: Column) -> Column:
     """Section name with the largest share of keyword hits when that share exceeds the threshold."""
-    low = F.lower(content)
-    hits = F.array(*[
-        F.struct(
-            sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0)).alias("n"),
-            F.lit(-i).alias("order"), F.lit(name).alias("name"),
-        )
-        for i, (name, words) in enumerate(FALLBACK_KEYWORDS.items())
-    ])
-    return F.aggregate(
-        hits,
-        F.struct(F.lit(0).alias("total"), F.struct(F.lit(-1).alias("n"), F.lit(0).alias("order"), F.lit("").alias("name")).alias("top")),
-        lambda acc, x: F.struct((acc["total"] + x["n"]).alias("total"), F.greatest(acc["top"], x).alias("top")),
-        lambda acc: F.when(acc["top"]["n"] > F.lit(K.FALLBACK_SECTION_THRESHOLD) * acc["total"], acc["top"]["name"]),
-    )
+    def count(low: Column) -> Column:
+        return F.array(*[
+            F.struct(
+                sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"),
+                F.lit(-i).alias("order"), F.lit(name).alias("name"),
+            )
+            for i, (name, words) in enumerate(FALLBACK_KEYWORDS.items())
+        ])
+
+    def decide(hits: Column) -> Column:
+        total = F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["n"])
+        return T.let(F.array_max(hits), lambda top: F.when(top["n"] > F.lit(K.FALLBACK_SECTION_THRESHOLD) * total, top["name"]))
+
+    return T.let(T.let(F.lower(content), count), decide)
 
 
 def section_list(parts: Column) -> Column:
@@ -68,14 +68,15 @@ def section_list(parts: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in K.SECTION_OF_HEADING.items() for x in pair])
 
     def one(x: Column, i: Column) -> Column:
-        heading = F.upper(T.strip(F.substring_index(x, T.CLOSE, 1)))
-        content = T.strip(F.substring_index(x, T.CLOSE, -1))
-        known = F.try_element_at(names, F.when(i > 0, heading).otherwise(F.lit("")))
-        section = F.when(i == 0, F.lit("Header")).otherwise(F.coalesce(known, keyword_label(content)))
-        return F.struct(
-            F.when(i > 0, heading).alias("heading"), section.alias("section"), content.alias("content"),
-            known.isNull().alias("guessed"),
-        )
+        heading = F.when(i > 0, F.upper(T.strip(F.substring_index(x, T.CLOSE, 1))))
+        split = F.struct(heading.alias("heading"), T.strip(F.substring_index(x, T.CLOSE, -1)).alias("content"))
+        return T.let(split, lambda s: F.struct(
+            s["heading"].alias("heading"),
+            F.when(i == 0, F.lit("Header")).otherwise(
+                F.coalesce(F.try_element_at(names, F.coalesce(s["heading"], F.lit(""))), keyword_label(s["content"]))
+            ).alias("section"),
+            s["content"].alias("content"),
+        ))
 
     return F.filter(F.transform(parts, one), lambda s: (s["section"] == "Header") | (s["content"] != ""))
 
@@ -88,38 +89,34 @@ def section_content(sections: Column, name: str) -> Column:
 
 def job_item(before: Column, period: Column, after: Column) -> Column:
     """Title, company and description around one date of the experience section."""
-    window = T.strip(F.right(before, F.lit(300)))
-    pipe = r"([^\n\|]+)\s*\|\s*([^\n]+)"
+    pipe = r"(?U)([^\n\|]+)\s*\|\s*([^\n]+)"
     bullet = r"(?U)^[\s•\-\*]+"
-    piped = [
-        _between(T.strip(F.regexp_replace(T.strip(F.regexp_extract(window, "(?U)" + pipe, g)), bullet, "")), 2, 100)
-        for g in (1, 2)
-    ]
-    rows = F.filter(
-        F.transform(_last_reversed(T.lines_of(window), 3), lambda x: F.transform(F.split(x, ","), T.strip)),
-        lambda p: F.size(p) >= 2,
-    )
-    title_part = F.filter(
-        F.transform(rows, lambda p: F.get(p, F.lit(0))),
-        lambda v: (F.length(v) > 3) & (F.length(v) < 100) & ~F.rlike(v, F.lit(r"^[0-9\-/]+$")),
-    )
-    company_part = F.filter(
-        F.transform(rows, lambda p: F.get(p, F.lit(1))),
-        lambda v: (F.length(v) > 2) & (F.length(v) < 100) & ~F.rlike(v, F.lit(r"(?U)^[A-Z][a-z]+,?\s*[A-Z][a-z]+$")),
-    )
-    return F.struct(
-        T.clean_field(F.coalesce(piped[0], _first(title_part))).alias("title"),
-        T.clean_field(F.coalesce(piped[1], _first(company_part))).alias("company"),
-        period.alias("period"),
-        first_sentence(after).alias("description"),
-    )
+
+    def piped(window: Column, group: int) -> Column:
+        return _between(T.strip(F.regexp_replace(T.strip(F.regexp_extract(window, pipe, group)), bullet, "")), 2, 100)
+
+    def listed(rows: Column, part: int, shortest: int, unlike: str) -> Column:
+        """First comma part of the last lines that has a sensible length and form."""
+        values = F.transform(rows, lambda p: F.get(p, F.lit(part)))
+        good = lambda v: (F.length(v) > shortest) & (F.length(v) < 100) & ~F.rlike(v, F.lit(unlike))
+        return _first(F.filter(values, good))
+
+    def build(window: Column) -> Column:
+        split = F.transform(_last_reversed(T.lines_of(window), 3), lambda x: F.transform(F.split(x, ","), T.strip))
+        return T.let(F.filter(split, lambda p: F.size(p) >= 2), lambda rows: F.struct(
+            T.clean_field(F.coalesce(piped(window, 1), listed(rows, 0, 3, r"^[0-9\-/]+$"))).alias("title"),
+            T.clean_field(F.coalesce(piped(window, 2), listed(rows, 1, 2, r"(?U)^[A-Z][a-z]+,?\s*[A-Z][a-z]+$"))).alias("company"),
+            period.alias("period"),
+            first_sentence(after).alias("description"),
+        ))
+
+    return T.let(T.strip(F.right(before, F.lit(300))), build)
 
 
 def first_sentence(after: Column) -> Column:
     """Text after a date up to and including the first full stop."""
-    text = T.strip(after)
-    stop = F.locate(".", text)
-    return F.when(stop > 0, T.strip(F.left(text, stop))).otherwise(text)
+    return T.let(T.strip(after), lambda text: F.when(
+        F.contains(text, F.lit(".")), T.strip(F.concat(F.substring_index(text, ".", 1), F.lit(".")))).otherwise(text))
 
 
 def is_job(item: Column) -> Column:
@@ -129,42 +126,55 @@ def is_job(item: Column) -> Column:
 
 def education_item(before: Column, period: Column) -> Column:
     """Degree and institution from the last four lines before a date; ``degree`` is null when none is found."""
-    lines = T.lines_of(T.strip(F.right(before, F.lit(300))))
-    near = F.transform(_last_reversed(lines, 4), lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.lower(x).alias("low")))
-    near = F.filter(near, lambda x: ~x["low"].isin(K.COMPLETION_WORDS))
-    degree_row = _first(F.filter(near, lambda x: F.rlike(x["line"], F.lit(DEGREE_PATTERN))))
-    both = T.contains_any(degree_row["low"], K.INSTITUTION_WORDS)
-    line = degree_row["line"]
-    bars = F.split(line, r"\|")
-    at = F.split(line, r"(?iU)\sat\s")
-    has_bar = both & F.contains(line, F.lit("|"))
-    has_at = both & ~F.contains(line, F.lit("|")) & F.contains(degree_row["low"], F.lit(" at "))
-    degree = (
-        F.when(has_bar, T.strip(F.get(bars, F.lit(0)))).when(has_at, T.strip(F.get(at, F.lit(0)))).otherwise(line)
-    )
-    named = F.when(has_bar, T.strip(F.get(bars, F.lit(1)))).when(has_at, T.strip(F.try_element_at(at, F.lit(-1))))
-    other = F.filter(
-        near,
-        lambda x: T.contains_any(x["low"], K.INSTITUTION_WORDS) & (x["i"] != F.coalesce(degree_row["i"], F.lit(-1))),
-    )
-    institution = F.coalesce(named, _first(other)["line"])
-    fallback = _first(F.filter(_last_reversed(lines, 3), lambda x: ~F.lower(x).isin(K.COMPLETION_WORDS[:2])))
-    return settle_education(period, degree, institution, fallback)
+    def line_facts(x: Column, i: Column) -> Column:
+        low = F.lower(x)
+        return F.struct(
+            i.alias("i"), x.alias("line"), F.rlike(x, F.lit(DEGREE_PATTERN)).alias("is_degree"),
+            T.contains_any(low, K.INSTITUTION_WORDS).alias("is_school"), low.isin(K.COMPLETION_WORDS).alias("is_status"),
+            F.contains(low, F.lit(" at ")).alias("has_at"), F.contains(x, F.lit("|")).alias("has_bar"),
+        )
+
+    def halves(row: Column) -> Column:
+        """Degree and institution written on one line."""
+        bars, at = F.split(row["line"], r"\|"), F.split(row["line"], r"(?iU)\sat\s")
+        return (
+            F.when(row["is_school"] & row["has_bar"], F.array(T.strip(F.get(bars, F.lit(0))), T.strip(F.get(bars, F.lit(1)))))
+            .when(row["is_school"] & row["has_at"], F.array(T.strip(F.get(at, F.lit(0))), T.strip(F.try_element_at(at, F.lit(-1)))))
+            .otherwise(F.array(row["line"], F.lit(None)))
+        )
+
+    def choose(lines: Column, near: Column) -> Column:
+        fallback = _first(F.filter(_last_reversed(lines, 3), lambda x: ~F.lower(x).isin(K.COMPLETION_WORDS[:2])))
+        own = lambda row: F.filter(near, lambda x: x["is_school"] & (x["i"] != F.coalesce(row["i"], F.lit(-1))))
+        return T.let(_first(F.filter(near, lambda x: x["is_degree"])), lambda row: T.let(
+            halves(row),
+            lambda pair: settle_education(
+                period, F.get(pair, F.lit(0)), F.coalesce(F.get(pair, F.lit(1)), _first(own(row))["line"]), fallback
+            ),
+        ))
+
+    def build(lines: Column) -> Column:
+        facts = F.filter(F.transform(_last_reversed(lines, 4), line_facts), lambda x: ~x["is_status"])
+        return T.let(facts, lambda near: choose(lines, near))
+
+    return T.let(T.lines_of(T.strip(F.right(before, F.lit(300)))), build)
 
 
 def settle_education(period: Column, degree: Column, institution: Column, fallback: Column) -> Column:
     """Resolve the case where one of degree and institution contains the other."""
-    inst_inside = F.contains(F.lower(degree), F.lower(institution))
-    degree_inside = F.contains(F.lower(institution), F.lower(degree))
-    final_degree = F.when(inst_inside, degree).when(degree_inside, institution).otherwise(degree)
-    final_institution = F.when(inst_inside | degree_inside, F.lit("")).otherwise(institution)
-    final_degree = F.coalesce(T.non_empty(final_degree), fallback)
-    return F.struct(
-        period.alias("period"),
-        T.clean_field(final_institution).alias("institution"),
-        F.when(final_degree.isNotNull(), T.clean_field(final_degree)).alias("degree"),
-        F.lit("").alias("details"),
-    )
+    def settle(p: Column) -> Column:
+        inst_inside = F.contains(F.lower(p["degree"]), F.lower(p["school"]))
+        degree_inside = F.contains(F.lower(p["school"]), F.lower(p["degree"]))
+        final = F.when(inst_inside, F.struct(p["degree"].alias("degree"), F.lit("").alias("school"))).when(
+            degree_inside, F.struct(p["school"].alias("degree"), F.lit("").alias("school"))
+        ).otherwise(p)
+        return T.let(final, lambda f: F.struct(
+            period.alias("period"), T.clean_field(f["school"]).alias("institution"),
+            T.let(F.coalesce(T.non_empty(f["degree"]), fallback), lambda d: F.when(d.isNotNull(), T.clean_field(d))).alias("degree"),
+            F.lit("").alias("details"),
+        ))
+
+    return T.let(F.struct(degree.alias("degree"), institution.alias("school")), settle)
 
 
 def _starts_sentence(c: Column) -> Column:
@@ -189,21 +199,27 @@ def undated_certificates(section: Column) -> Column:
 
 def certificate_item(before: Column, period: Column) -> Column:
     """Certificate named on the last line before a date; ``degree`` is null when none is found."""
-    target = F.try_element_at(T.lines_of(T.strip(F.right(before, F.lit(200)))), F.lit(-1))
-    phrase = T.strip(F.regexp_extract(target, "(?iU)" + K.CERTIFICATE_PHRASE, 1))
-    by_phrase = F.when(F.rlike(target, F.lit("(?iU)" + K.CERTIFICATE_PHRASE)), _between(phrase, 3, 80))
-    prefix = T.strip(F.regexp_extract(target, "(?U)" + K.CERTIFICATE_PREFIX, 1))
-    short = F.regexp_replace(prefix, "(?iU)" + K.CERTIFICATE_TAIL, "")
-    by_prefix = F.when((prefix != "") & ~_starts_sentence(prefix) & (F.length(short) > 4), short)
-    runs = F.transform(F.regexp_extract_all(target, F.lit("(?U)" + K.CERTIFICATE_RUN), F.lit(1)), T.strip)
-    good = F.filter(runs, lambda x: ~_starts_sentence(x) & (F.length(x) > 4))
-    ranked = F.transform(good, lambda x, i: F.struct((-F.length(x)).alias("size"), i.alias("i"), x.alias("text")))
-    by_run = F.array_min(ranked)["text"]
-    name = F.coalesce(by_phrase, by_prefix, by_run)
-    return F.struct(
+    phrase_rx, tail_rx = "(?iU)" + K.CERTIFICATE_PHRASE, "(?iU)" + K.CERTIFICATE_TAIL
+
+    def by_prefix(prefix: Column) -> Column:
+        return T.let(F.regexp_replace(prefix, tail_rx, ""), lambda short: F.when(
+            (prefix != "") & ~_starts_sentence(prefix) & (F.length(short) > 4), short))
+
+    def by_run(target: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(target, F.lit("(?U)" + K.CERTIFICATE_RUN), F.lit(1)), T.strip)
+        good = F.filter(runs, lambda x: ~_starts_sentence(x) & (F.length(x) > 4))
+        return F.array_min(F.transform(good, lambda x, i: F.struct((-F.length(x)).alias("size"), i.alias("i"), x.alias("text"))))["text"]
+
+    def name_in(target: Column) -> Column:
+        phrase = _between(T.strip(F.regexp_extract(target, phrase_rx, 1)), 3, 80)
+        prefix = T.strip(F.regexp_extract(target, "(?U)" + K.CERTIFICATE_PREFIX, 1))
+        return F.coalesce(phrase, T.let(prefix, by_prefix), by_run(target))
+
+    last_line = F.try_element_at(T.lines_of(T.strip(F.right(before, F.lit(200)))), F.lit(-1))
+    return T.let(T.let(last_line, name_in), lambda name: F.struct(
         period.alias("period"), F.lit("").alias("institution"),
         F.when(name.isNotNull(), T.clean_field(name)).alias("degree"), F.lit("").alias("details"),
-    )
+    ))
 
 
 def skill_phrases(section: Column) -> Column:
@@ -225,11 +241,13 @@ def skill_parts(section: Column) -> Column:
     parts = F.transform(F.split(plain, r"(?U)[,;.]|\s+as well as\s+"), T.clean_field)
 
     def keep(p: Column) -> Column:
-        low = F.lower(p)
-        shouted = F.rlike(p, F.lit(r"\p{Lu}")) & ~F.rlike(p, F.lit(r"\p{Ll}"))
-        short_ok = (F.length(p) >= 3) | low.isin(K.SHORT_SKILLS) | shouted
-        sentence = T.contains_any(F.concat(F.lit(" "), low, F.lit(" ")), K.SENTENCE_WORDS)
-        return (p != "") & short_ok & (F.size(T.words_of(p)) <= 8) & ~sentence
+        def test(low: Column) -> Column:
+            shouted = F.rlike(p, F.lit(r"\p{Lu}")) & ~F.rlike(p, F.lit(r"\p{Ll}"))
+            short_ok = (F.length(p) >= 3) | low.isin(K.SHORT_SKILLS) | shouted
+            sentence = T.contains_any(F.concat(F.lit(" "), low, F.lit(" ")), K.SENTENCE_WORDS)
+            return (p != "") & short_ok & (F.size(T.words_of(p)) <= 8) & ~sentence
+
+        return T.let(F.lower(p), test)
 
     return F.filter(parts, keep)
 
@@ -244,8 +262,8 @@ def skills(section: Column, known: Column | None = None) -> Column:
     def add(acc: Column, p: Column) -> Column:
         covered = F.exists(acc, lambda a: F.contains(a, F.lit("in")) & F.contains(F.lower(p), a))
         final = F.lower(F.regexp_replace(p, r"(?iU)^(?:and|or|also|with)\s+", ""))
-        drop = covered | (final == "") | F.array_contains(acc, final)
-        return F.when(drop, acc).otherwise(F.array_append(acc, final))
+        return T.let(final, lambda f: F.when(
+            covered | (f == "") | F.array_contains(acc, f), acc).otherwise(F.array_append(acc, f)))
 
     return F.aggregate(skill_parts(section), first, add)
 
@@ -261,11 +279,8 @@ def linkedin_of(c: Column) -> Column:
 def header_location(header: Column) -> Column:
     """First "City, Region" line of the header."""
     def good(x: Column) -> Column:
-        low = F.lower(x)
-        return (
-            ~T.contains_any(low, K.NOT_A_PLACE) & ~F.rlike(x, F.lit(r"(?U)\d"))
-            & F.rlike(x, F.lit("(?U)" + K.PLACE_LINE_PATTERN)) & ~T.contains_any(low, K.NOT_A_PLACE_ORGANISATION)
-        )
+        shape = ~F.rlike(x, F.lit(r"(?U)\d")) & F.rlike(x, F.lit("(?U)" + K.PLACE_LINE_PATTERN))
+        return shape & T.let(F.lower(x), lambda low: ~T.contains_any(low, K.NOT_A_PLACE + K.NOT_A_PLACE_ORGANISATION))
 
     return T.clean_field(_first(F.filter(T.lines_of(header), good)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also when the body uses it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every whitespace character, not only blanks."""
     return F.btrim(c, F.lit(K.WHITESPACE))
@@ -42,19 +48,16 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(strip(c), r"(?U)\s+"), lambda x: x != "")
 
 
-def contains_any(c: Column, needles: list[str]) -> Column:
-    """True when one of the fixed strings occurs in ``c``."""
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(c, F.lit(needle))
-    return found
-
-
 def any_of(words: list[str]) -> str:
     """Regex alternation of fixed strings."""
     return "(?:" + "|".join(r"\Q" + w + r"\E" for w in words) + ")"
 
 
+def contains_any(c: Column, needles: list[str]) -> Column:
+    """True when one of the fixed strings occurs in ``c``."""
+    return F.rlike(c, F.lit(any_of(needles)))
+
+
 def clean_field(c: Column) -> Column:
     """Pipes and spaced dashes become blanks, edge punctuation goes, runs of whitespace shrink."""
     spaced = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit(" ")), r"(?U)\s+-\s+", " ")
@@ -93,9 +96,11 @@ def is_duration_line(c: Column) -> Column:
 
 
 def is_location_line(c: Column) -> Column:
-    low = F.lower(c)
-    place = contains_any(low, K.KNOWN_PLACES) | (F.contains(c, F.lit(",")) & (F.length(c) < 50))
-    return ~contains_any(low, K.ORGANISATION_WORDS) & place
+    def test(low: Column) -> Column:
+        place = contains_any(low, K.KNOWN_PLACES) | (F.contains(c, F.lit(",")) & (F.length(c) < 50))
+        return ~contains_any(low, K.ORGANISATION_WORDS) & place
+
+    return let(F.lower(c), test)
 
 
 def mark(c: Column, pattern: str, shown: str = "$0") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentweave import constants as K
@@ -11,13 +11,14 @@ from talentweave.functions import free_text as FT
 from talentweave.functions import text as T
 
 
+def normalized(c: Column) -> Column:
+    """NFC, then plain blanks and dashes. Texts that NFC cannot change are not sent to Python."""
+    open_text = F.when(~F.rlike(c, F.lit(K.ALWAYS_COMPOSED_PATTERN)), c)
+    return T.fix_characters(F.coalesce(T.compose_unicode(open_text), c, F.lit("")))
+
+
 def normalize_chars(docs: DataFrame, text: str = "text") -> DataFrame:
-    """NFC, then plain blanks and dashes. Only texts with characters that NFC may change go through Python."""
-    stable = F.rlike(text, F.lit(K.ALWAYS_COMPOSED_PATTERN))
-    plain = docs.where(stable | F.col(text).isNull())
-    other = docs.where(~stable).withColumn(text, T.compose_unicode(text))
-    both = plain.unionByName(other)
-    return both.withColumn(text, T.fix_characters(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(text, normalized(F.col(text)))
 
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:

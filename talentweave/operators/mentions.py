@@ -38,6 +38,15 @@ def token_windows(docs: DataFrame, tokens: Column, size: int = CHUNK_WORDS, over
     return measured.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.*")
 
 
+def token_starts(windows: DataFrame) -> DataFrame:
+    """Add ``starts``: the position in the text of each token of a window."""
+    ends = F.aggregate(
+        "tokens", F.array(F.col("offset")),
+        lambda acc, t: F.array_append(acc, F.try_element_at(acc, F.lit(-1)) + F.length(t)),
+    )
+    return windows.withColumn("starts", ends)
+
+
 def spaced_words(c: Column) -> Column:
     """Words, each with one blank behind it."""
     return F.transform(T.words_of(c), lambda w: F.concat(w, F.lit(" ")))
@@ -68,22 +77,19 @@ def extract_mentions(
     Spark's size check. Offsets refer to the text with single blanks, or to the text as it is.
     """
     tokens = original_words(F.col(text)) if original_offsets else spaced_words(F.col(text))
-    windows = token_windows(docs, tokens)
+    windows = token_starts(token_windows(docs, tokens))
 
     def at_token(token: Column, i: Column) -> Column:
-        start = F.col("offset") + F.length(F.array_join(F.slice("tokens", 1, i), ""))
-        runs = F.array(*[
+        longer = [
             F.when(i + n <= F.size("tokens"), T.strip(F.array_join(F.slice("tokens", i + 1, n), "")))
-            for n in range(1, longest + 1)
-        ])
-        return F.struct(start.cast("int").alias("start"), F.array_compact(runs).alias("runs"))
+            for n in range(2, longest + 1)
+        ]
+        return F.struct(F.get("starts", i).alias("start"), F.array_compact(F.array(T.strip(token), *longer)).alias("runs"))
 
     placed = windows.select("doc_id", F.explode(F.transform("tokens", at_token)).alias("w"))
     grams = placed.select("doc_id", "w.start", F.explode("w.runs").alias("run"))
-    if original_offsets:
-        grams = grams.select("doc_id", "start", F.length("run").alias("_len"), T.squeeze(F.col("run")).alias("value"))
-    else:
-        grams = grams.select("doc_id", "start", F.length("run").alias("_len"), F.col("run").alias("value"))
+    value = T.squeeze(F.col("run")) if original_offsets else F.col("run")
+    grams = grams.select("doc_id", "start", F.length("run").alias("_len"), value.alias("value"))
     hits = grams.join(terms.select(F.col("term").alias("value"), "kind"), "value")
     found = hits.select("doc_id", "start", (F.col("start") + F.col("_len")).alias("end"), "kind", "value")
     return found.dropDuplicates(["doc_id", "start", "end", "kind", "value"])

@@ -52,7 +52,7 @@ def digest(c: Column | str) -> Column:
 
 
 def documents(v: Views) -> DataFrame:
-    return v.base("documents")
+    return v.texts("documents")
 
 
 def envelopes(v: Views) -> DataFrame:
@@ -85,7 +85,7 @@ def posting_rows(v: Views) -> DataFrame:
 
 
 def resume_pages(v: Views) -> DataFrame:
-    return v.written("resume_page")
+    return v.written_texts("resume_page")
 
 
 def page_records(v: Views) -> DataFrame:
@@ -106,15 +106,15 @@ def page_records(v: Views) -> DataFrame:
 
 
 def resume_text(v: Views) -> DataFrame:
-    return v.written("resume_text")
+    return v.written_texts("resume_text")
 
 
 def dataset_text(v: Views) -> DataFrame:
-    return v.written("dataset_text")
+    return v.written_texts("dataset_text")
 
 
 def profile_lines(v: Views, side: str) -> DataFrame:
-    return P.column_lines(v.written("profile_box"), side)
+    return P.column_lines(v.written_texts("profile_box")).where(F.col("side") == side).select("doc_id", "pos", "line")
 
 
 def dataset_terms(v: Views) -> DataFrame:
@@ -125,13 +125,14 @@ def dataset_terms(v: Views) -> DataFrame:
 
 
 def corpus(v: Views) -> funnel.Corpus:
+    """Tables of both sides, as they stand once the intake has run."""
     level = experience_level(F.col("total_experience"))
     return funnel.Corpus(
-        cv_vec=v.profile_vec(), job_vec=v.posting_vec(), cv_skill=v.profile_skill(), job_skill=v.posting_skill(),
-        cv_title=v.profile_title(), job_title=v.posting().select("num", "title"),
-        cv_text=v.profile().select("num", F.concat(F.lit("with experience ("), level, F.lit(")")).alias("text")),
-        job_text=v.posting().select("num", F.concat_ws(" ", "title", "level_phrase").alias("text")),
-        synonyms=v.occupation(),
+        cv_vec=v.profile_vec(), job_vec=v.posting_vec(), cv_skill=v.written("profile_skill"), job_skill=v.written("posting_skill"),
+        cv_title=v.written("profile_title"), job_title=v.written("posting").select("num", "title"),
+        cv_text=v.written("profile").select("num", F.concat(F.lit("with experience ("), level, F.lit(")")).alias("text")),
+        job_text=v.written("posting").select("num", F.concat_ws(" ", "title", "level_phrase").alias("text")),
+        synonyms=v.written("occupation"),
     )
 
 
@@ -338,11 +339,8 @@ def _word_mentions(v: Views) -> DataFrame:
 
 
 def _windows_to_mentions(windows: DataFrame) -> DataFrame:
-    def at(token: Column, i: Column) -> Column:
-        start = F.col("offset") + F.length(F.array_join(F.slice("tokens", 1, i), ""))
-        return F.struct(start.cast("int").alias("start"), F.rtrim(token).alias("value"))
-
-    rows = windows.select("doc_id", F.explode(F.transform("tokens", at)).alias("m")).select("doc_id", "m.*")
+    pairs = F.zip_with("starts", "tokens", lambda at, token: F.struct(at.alias("start"), F.rtrim(token).alias("value")))
+    rows = N.token_starts(windows).select("doc_id", F.explode(pairs).alias("m")).select("doc_id", "m.*").where("value is not null")
     kind = F.when(F.length("value") > 4, "LONG").otherwise("SHORT")
     return rows.select("doc_id", "start", (F.col("start") + F.length("value")).alias("end"), kind.alias("kind"), "value")
 
@@ -426,7 +424,7 @@ def project_personal_info(v: Views) -> DataFrame:
 
 
 def resume_json_rows(v: Views) -> DataFrame:
-    return v.written("resume_json")
+    return v.written_texts("resume_json")
 
 
 @query
@@ -544,7 +542,7 @@ def clean_lines(v: Views) -> DataFrame:
 
 @query
 def assemble_columns(v: Views) -> DataFrame:
-    return L.assemble_columns(v.written("profile_box")).select("doc_id", "side", digest("text"))
+    return L.assemble_columns(v.written_texts("profile_box")).select("doc_id", "side", digest("text"))
 
 
 @query
@@ -813,7 +811,7 @@ def parse_resume_dataset(v: Views) -> DataFrame:
 
 @query
 def parse_resume_profile(v: Views) -> DataFrame:
-    return _summary(P.parse_resume_profile(v.written("profile_box")))
+    return _summary(P.parse_resume_profile(v.written_texts("profile_box")))
 
 
 # --- embedding and matching
@@ -885,13 +883,13 @@ def top_matches(v: Views) -> DataFrame:
 
 @query
 def skill_jaccard(v: Views) -> DataFrame:
-    return S.skill_jaccard(candidate_pairs(v), v.profile_skill(), v.posting_skill()).select("job_num", "cv_num", "jaccard")
+    return S.skill_jaccard(candidate_pairs(v), v.written("profile_skill"), v.written("posting_skill")).select("job_num", "cv_num", "jaccard")
 
 
 @query
 def skill_join_lookup(v: Views) -> DataFrame:
     lists = lambda df: df.groupBy("num").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
-    rows = S.skill_join_lookup(candidate_pairs(v), lists(v.profile_skill()), lists(v.posting_skill()))
+    rows = S.skill_join_lookup(candidate_pairs(v), lists(v.written("profile_skill")), lists(v.written("posting_skill")))
     return rows.select(
         "job_num", "cv_num", F.array_join("cv_skills", ",").alias("cv_skills"), F.array_join("job_skills", ",").alias("job_skills"),
         S.jaccard_of_arrays(F.col("cv_skills"), F.col("job_skills")).alias("jaccard"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentweave.operators.identity import number_in_group
-from talentweave.session import written_once
+from talentweave.session import spread_small, written_once
 
 JOBS_PER_PAGE = 20
 
@@ -29,6 +29,13 @@ class Views:
         """The named view from a table written to the shared folder on first use."""
         return written_once(self.spark, self.sf_dir, name, getattr(self, name))
 
+    def texts(self, name: str) -> DataFrame:
+        """A base table of long texts; its rows are dealt out when the table has few row groups."""
+        return spread_small(self.base(name))
+
+    def written_texts(self, name: str) -> DataFrame:
+        return spread_small(self.written(name))
+
     def places(self) -> DataFrame:
         place = F.concat_ws(", ", "n_name", "r_name")
         return (
@@ -169,7 +176,7 @@ class Views:
         )
 
     def _pages(self) -> DataFrame:
-        return self.written("resume_page")
+        return self.written_texts("resume_page")
 
     @staticmethod
     def letters(c: Column | str) -> Column:

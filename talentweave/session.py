@@ -51,6 +51,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{os.urandom(6).hex()}")
 
 
+SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a small table out to all cores. A large one comes in enough row groups and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else df
+
+
 _written: dict[tuple[str, str, str], str] = {}
 
 
