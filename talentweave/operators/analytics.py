@@ -57,7 +57,15 @@ def summary_stats(postings: DataFrame, counts: DataFrame | None = None) -> DataF
         F.count(F.lit(1)).alias("total_jobs"), F.count_if(with_skills).alias("jobs_with_skills"),
         F.count_if(~with_skills).alias("jobs_without_skills"),
     )
-    return totals.join(unique)
+    return _one_row(totals, unique)
+
+
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Side by side columns of one-row tables, as an aggregate over their union."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.groupBy().agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
 
 
 def report_document(postings: DataFrame, top_n: int = K.REPORT_TOP_N) -> DataFrame:
@@ -82,7 +90,7 @@ def report_document(postings: DataFrame, top_n: int = K.REPORT_TOP_N) -> DataFra
     )
     stats = summary_stats(postings, counts)
     fields = ["unique_job_titles", "unique_skills", "unique_locations", "unique_companies"]
-    return stats.join(maps).select(
+    return _one_row(stats, maps).select(
         "total_jobs", "top_job_titles", "top_skills", "top_locations", "top_companies", "categories",
         F.struct(*fields).alias("statistics"),
     )

@@ -5,49 +5,79 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave import constants as K
 
 MAX_SHIPPED_QUERIES = 4096
-QUERY_BLOCK = 4096
-DOCUMENT_BLOCK = 65536
-HIT_SCHEMA = "query_num bigint, match_num bigint, sim double"
+QUERY_BLOCK = 16_384
+DOCUMENT_BLOCK = 131_072
+# Products held at a time by one task: 64 MB of 4-byte floats.
+TILE = 1 << 24
 # Rounding of a 64-term product is far below this; every true top-k row passes the first cut.
 SLACK = 1e-4
+HIT_SCHEMA = "query_num bigint, match_num bigint, sim double"
 
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _top_k(queries: np.ndarray, docs: np.ndarray, doc_nums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number of the query, document number and product of the k best documents per query.
 
-    A fast matrix product finds the candidates, with some slack; their products are then summed in the order
-    of the dimensions, so equal vectors get equal scores wherever they are. Ties go to the smaller number.
-    """
-    rough = queries.astype(np.float32) @ docs.astype(np.float32).T
-    if rough.shape[1] > k:
-        scale = np.abs(rough).max(axis=1, initial=0.0)
-        kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
-        q, d = np.nonzero(rough >= (kth - SLACK * np.maximum(scale, 1.0))[:, None])
-    else:
-        q, d = (a.ravel() for a in np.indices(rough.shape))
-    sim = np.zeros(len(q))
-    for dim in range(queries.shape[1]):
-        sim += queries[q, dim] * docs[d, dim]
-    return _best(q, doc_nums[d], sim, k)
-
-
-def _best(q: np.ndarray, num: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """List column of equally long vectors as one matrix, without a Python object per row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _hits(query_nums: np.ndarray, hits: Hits) -> dict[str, pa.Array]:
+    q, d, s = hits
+    return {"query_num": pa.array(query_nums[q], pa.int64()), "match_num": pa.array(d, pa.int64()), "sim": pa.array(s, pa.float64())}
+
+
+def _none() -> Hits:
+    return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+
+def _best(hits: Hits, k: int) -> Hits:
+    """The k best hits of each query; ties go to the smaller document number."""
+    q, num, sim = hits
     order = np.lexsort((num, -sim, q))
     q, num, sim = q[order], num[order], sim[order]
-    first = np.searchsorted(q, q, side="left")
-    keep = np.arange(len(q)) - first < k
+    keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
     return q[keep], num[keep], sim[keep]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def _merge(a: Hits, b: Hits, k: int) -> Hits:
+    return _best((np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]])), k)
+
+
+def _top_k(queries: np.ndarray, docs: np.ndarray, doc_nums: np.ndarray, k: int) -> Hits:
+    """Row number of the query, document number and product of the k best documents per query.
+
+    A fast matrix product finds the candidates, with some slack; their products are then summed in the order
+    of the dimensions, so equal vectors get equal scores wherever they are.
+    """
+    if not len(queries) or not len(docs):
+        return _none()
+    rows = max(1, TILE // len(docs))
+    fast = docs.astype(np.float32).T
+    parts = []
+    for first in range(0, len(queries), rows):
+        tile = queries[first : first + rows]
+        rough = tile.astype(np.float32) @ fast
+        if rough.shape[1] > k:
+            kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+            size = np.maximum(np.abs(rough).max(axis=1), 1.0)
+            q, d = np.nonzero(rough >= (kth - SLACK * size)[:, None])
+        else:
+            q, d = (a.ravel() for a in np.indices(rough.shape))
+        sim = np.zeros(len(q))
+        for dim in range(queries.shape[1]):
+            sim += tile[q, dim] * docs[d, dim]
+        parts.append(_best((q + first, doc_nums[d], sim), k))
+    return tuple(np.concatenate(column) for column in zip(*parts))  # type: ignore[return-value]
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -62,23 +92,23 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = K.DEFAULT_K) -> DataFrame:
     ``queries`` and ``docs`` are ``(num, embedding)``. A query set within MAX_SHIPPED_QUERIES travels to the
     tasks and each document is read once, unshuffled; a larger one is joined block by block.
     """
-    sample = queries.select("num", "embedding").limit(MAX_SHIPPED_QUERIES + 1).toPandas()
-    if len(sample) > MAX_SHIPPED_QUERIES:
+    few = queries.select("num", "embedding").limit(MAX_SHIPPED_QUERIES + 1).toArrow()
+    if few.num_rows > MAX_SHIPPED_QUERIES:
         return knn_blocked(queries, docs, k)
-    if len(sample) == 0:
+    if few.num_rows == 0:
         return _ranked(queries.sparkSession.createDataFrame([], HIT_SCHEMA), k)
-    shipped = queries.sparkSession.sparkContext.broadcast((sample["num"].to_numpy(), _matrix(sample["embedding"])))
+    shipped = queries.sparkSession.sparkContext.broadcast((few["num"].to_numpy(), _matrix(few["embedding"])))
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nums, matrix = shipped.value
-        q, d, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for frame in frames:
-            if len(frame):
-                q2, d2, s2 = _top_k(matrix, _matrix(frame["embedding"]), frame["num"].to_numpy(), k)
-                q, d, s = _best(np.concatenate([q, q2]), np.concatenate([d, d2]), np.concatenate([s, s2]), k)
-        yield pd.DataFrame({"query_num": nums[q], "match_num": d, "sim": s})
+        best = _none()
+        for batch in batches:
+            if batch.num_rows:
+                found = _top_k(matrix, _matrix(batch.column(1)), batch.column(0).to_numpy(), k)
+                best = _merge(best, found, k)
+        yield pa.RecordBatch.from_pydict(_hits(nums, best))
 
-    return _ranked(docs.select("num", "embedding").mapInPandas(scan, HIT_SCHEMA), k)
+    return _ranked(docs.select("num", "embedding").mapInArrow(scan, HIT_SCHEMA), k)
 
 
 def knn_blocked(
@@ -88,7 +118,8 @@ def knn_blocked(
     """The same result for any number of queries: blocks of queries meet blocks of documents.
 
     Blocks are filled by a hash of the unique number, so their size is bounded also when many vectors are
-    equal. A block pair is one matrix product and gives k rows per query, never all pairs.
+    equal. A pair of blocks gives k rows per query, never all pairs; each side is sent once per block of the
+    other, so larger blocks mean less shuffle and more memory per task.
     """
     n_q = max(1, -(-queries.count() // query_block))
     n_d = max(1, -(-docs.count() // document_block))
@@ -100,13 +131,13 @@ def knn_blocked(
     left = blocks(queries, n_q, n_d, "qb", "db")
     right = blocks(docs, n_d, n_q, "db", "qb")
 
-    def pair(query_rows: pd.DataFrame, doc_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(query_rows) or not len(doc_rows):
-            return pd.DataFrame({"query_num": np.empty(0, np.int64), "match_num": np.empty(0, np.int64), "sim": np.empty(0)})
-        q, d, s = _top_k(_matrix(query_rows["embedding"]), _matrix(doc_rows["embedding"]), doc_rows["num"].to_numpy(), k)
-        return pd.DataFrame({"query_num": query_rows["num"].to_numpy()[q], "match_num": d, "sim": s})
+    def pair(query_rows: pa.Table, doc_rows: pa.Table) -> pa.Table:
+        if not query_rows.num_rows or not doc_rows.num_rows:
+            return pa.table(_hits(np.empty(0, np.int64), _none()))
+        found = _top_k(_matrix(query_rows["embedding"]), _matrix(doc_rows["embedding"]), doc_rows["num"].to_numpy(), k)
+        return pa.table(_hits(query_rows["num"].to_numpy(), found))
 
-    hits = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(pair, HIT_SCHEMA)
+    hits = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(pair, HIT_SCHEMA)
     return _ranked(hits, k)
 
 

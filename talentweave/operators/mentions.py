@@ -84,7 +84,9 @@ def extract_mentions(
             F.when(i + n <= F.size("tokens"), T.strip(F.array_join(F.slice("tokens", i + 1, n), "")))
             for n in range(2, longest + 1)
         ]
-        return F.struct(F.get("starts", i).alias("start"), F.array_compact(F.array(T.strip(token), *longer)).alias("runs"))
+        # Blanks at the start of a text make a token of their own.
+        runs = F.when(T.strip(token) != "", F.array_compact(F.array(T.strip(token), *longer)))
+        return F.struct(F.get("starts", i).alias("start"), runs.alias("runs"))
 
     placed = windows.select("doc_id", F.explode(F.transform("tokens", at_token)).alias("w"))
     grams = placed.select("doc_id", "w.start", F.explode("w.runs").alias("run"))

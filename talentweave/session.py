@@ -51,6 +51,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{os.urandom(6).hex()}")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: later steps read the rows, and keep their partitioning."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
 SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
 
 
