@@ -73,27 +73,26 @@ def extract_mentions(
 ) -> DataFrame:
     """Occurrences of ``terms (term, kind)`` of up to ``longest`` words, once each.
 
-    Word runs of each window meet the terms in an equi-join; whether the terms are broadcast is left to
-    Spark's size check. Offsets refer to the text with single blanks, or to the text as it is.
+    Words and terms meet in an equi-join on the first word; whether the terms are broadcast is left to Spark's
+    size check. Offsets refer to the text with single blanks, or to the text as it is.
     """
     tokens = original_words(F.col(text)) if original_offsets else spaced_words(F.col(text))
     windows = token_starts(token_windows(docs, tokens))
 
     def at_token(token: Column, i: Column) -> Column:
-        longer = [
-            F.when(i + n <= F.size("tokens"), T.strip(F.array_join(F.slice("tokens", i + 1, n), "")))
-            for n in range(2, longest + 1)
-        ]
-        # Blanks at the start of a text make a token of their own.
-        runs = F.when(T.strip(token) != "", F.array_compact(F.array(T.strip(token), *longer)))
-        return F.struct(F.get("starts", i).alias("start"), runs.alias("runs"))
-
-    placed = windows.select("doc_id", F.explode(F.transform("tokens", at_token)).alias("w"))
-    grams = placed.select("doc_id", "w.start", F.explode("w.runs").alias("run"))
-    value = T.squeeze(F.col("run")) if original_offsets else F.col("run")
-    grams = grams.select("doc_id", "start", F.length("run").alias("_len"), value.alias("value"))
-    hits = grams.join(terms.select(F.col("term").alias("value"), "kind"), "value")
-    found = hits.select("doc_id", "start", (F.col("start") + F.col("_len")).alias("end"), "kind", "value")
+        run = F.array_join(F.slice("tokens", i + 1, longest), "")
+        return F.struct(F.get("starts", i).alias("start"), T.strip(token).alias("word"), run.alias("run"))
+
+    placed = windows.select("doc_id", F.explode(F.transform("tokens", at_token)).alias("w")).select("doc_id", "w.*")
+    # The first word finds the terms that may start here; only then the following words are compared.
+    wanted = terms.select(
+        F.substring_index("term", " ", 1).alias("word"), "term", "kind", F.size(F.split("term", " ")).alias("n_words")
+    )
+    run = T.squeeze(F.col("run")) if original_offsets else T.strip(F.col("run"))
+    starts_here = F.startswith(F.concat(run, F.lit(" ")), F.concat(F.col("term"), F.lit(" ")))
+    hits = placed.where("word != ''").join(wanted, "word").where(starts_here)
+    raw = T.strip(F.array_join(F.slice(original_words(F.col("run")), 1, F.col("n_words")), ""))
+    found = hits.select("doc_id", "start", (F.col("start") + F.length(raw)).alias("end"), "kind", F.col("term").alias("value"))
     return found.dropDuplicates(["doc_id", "start", "end", "kind", "value"])
 
 
