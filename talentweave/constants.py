@@ -48,6 +48,14 @@ MONTHS = [
     "January", "February", "March", "April", "May", "June",
     "July", "August", "September", "October", "November", "December",
 ]
+DATE_POINTS = [
+    r"[0-2]\d{3}\s*[-]\s*[0-3]\d\s*[-]\s*[0-3]\d",
+    r"[0-2]\d\s*[-/ ]\s*[0-2]\d{3}",
+    r"[0-2]\d{3}",
+]
+MONTH_YEAR = r"\s+[0-2]\d{3}"
+RANGE_SIGN = r"\s*(?:to|[-–—])\s*"
+YEAR_PATTERN = r"\b(19\d{2}|20\d{2})\b"
 DATASET_OPEN_ENDS = ["Present", "Current", "Now"]
 TEXT_OPEN_ENDS = ["Present", "Current", "Now", "Today"]
 ONGOING_WORDS = ["present", "current", "now", "today"]
@@ -82,6 +90,12 @@ SECTION_OF_HEADING = {
 }
 FALLBACK_SECTION_THRESHOLD = 0.3
 
+# --- free-form résumés: jobs
+TITLE_BAR_COMPANY = r"([^\n\|]+)\s*\|\s*([^\n]+)"
+LEADING_BULLET = r"^[\s•\-\*]+"
+NOT_A_TITLE = r"^[0-9\-/]+$"
+NOT_A_COMPANY = r"^[A-Z][a-z]+,?\s*[A-Z][a-z]+$"
+
 # --- free-form résumés: names, titles, places
 HEADER_EXCLUDED_NAME = [
     "personal information", "contact", "curriculum vitae", "resume", "cv", "profile", "summary", "objective",
@@ -143,6 +157,9 @@ SKILL_NOISE = [
 ]
 DOTTED_SKILLS = {"Node.js": "NodeJS", ".NET": "DotNet", "Vue.js": "VueJS"}
 SENTENCE_WORDS = [" i ", " my ", " am ", " is ", " are ", " was ", " were ", " have ", " has "]
+SKILL_BULLET = r"\n\s*[-•*]\s*"
+SKILL_SPLIT = r"[,;.]|\s+as well as\s+"
+SKILL_LEAD = r"^(?:and|or|also|with)\s+"
 SKILL_KINDS = ["PROGRAMMING_LANGUAGE", "FRAMEWORK", "TOOL", "SOFTWARE", "TECHNICAL_SKILL", "SOFT_SKILL", "LANGUAGE"]
 
 # --- dataset résumés (run-on spacing)
@@ -162,6 +179,10 @@ DATASET_HEADINGS = {
         r"(?:\s+and\s+(?:Qualifications|Expertise|Competencies|Accomplishments))?\s\s+"
     ),
 }
+DATASET_TITLE_EXCLUDED = ["summary", "experience", "skills"]
+DATASET_MENTION_EXCLUDED = ["summary", "experience", "education"]
+TEXT_BEFORE_HEADING = r"^(.+?)(?:Summary|Experience|Skills|Accomplishments)"
+NOT_A_JOB_TITLE = ["experience", "work history", "summary", "skills"]
 DATASET_JOB_KINDS = ["POSITION", "JOB_TITLE", "TITLE", "COMPANY", "ORG"]
 COMPANY_KINDS = ["COMPANY", "ORG"]
 SCHOOL_KINDS = ["ORG", "SCHOOL", "UNIVERSITY"]
@@ -202,6 +223,8 @@ PROFILE_DATE_PATTERN = (
     r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4}.*?"
     r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|Present|\d{4})"
 )
+DATE_CONTINUATION = r"^[\d\)]+$"
+DATE_ONLY_LINES = [r"^\(.*?\d{4}.*?\)$", r"\d{4}.*?\d{4}"]
 PROFILE_DEGREE_WORDS = ["degree", "master", "bachelor", "diploma", "phd"]
 
 # --- character classes, by rule

@@ -89,8 +89,7 @@ def section_content(sections: Column, name: str) -> Column:
 
 def job_item(before: Column, period: Column, after: Column) -> Column:
     """Title, company and description around one date of the experience section."""
-    pipe = r"(?U)([^\n\|]+)\s*\|\s*([^\n]+)"
-    bullet = r"(?U)^[\s•\-\*]+"
+    pipe, bullet = "(?U)" + K.TITLE_BAR_COMPANY, "(?U)" + K.LEADING_BULLET
 
     def piped(window: Column, group: int) -> Column:
         return _between(T.strip(F.regexp_replace(T.strip(F.regexp_extract(window, pipe, group)), bullet, "")), 2, 100)
@@ -104,8 +103,8 @@ def job_item(before: Column, period: Column, after: Column) -> Column:
     def build(window: Column) -> Column:
         split = F.transform(_last_reversed(T.lines_of(window), 3), lambda x: F.transform(F.split(x, ","), T.strip))
         return T.let(F.filter(split, lambda p: F.size(p) >= 2), lambda rows: F.struct(
-            T.clean_field(F.coalesce(piped(window, 1), listed(rows, 0, 3, r"^[0-9\-/]+$"))).alias("title"),
-            T.clean_field(F.coalesce(piped(window, 2), listed(rows, 1, 2, r"(?U)^[A-Z][a-z]+,?\s*[A-Z][a-z]+$"))).alias("company"),
+            T.clean_field(F.coalesce(piped(window, 1), listed(rows, 0, 3, K.NOT_A_TITLE))).alias("title"),
+            T.clean_field(F.coalesce(piped(window, 2), listed(rows, 1, 2, "(?U)" + K.NOT_A_COMPANY))).alias("company"),
             period.alias("period"),
             first_sentence(after).alias("description"),
         ))
@@ -237,8 +236,8 @@ def skill_parts(section: Column) -> Column:
     plain = F.regexp_replace(section, noise, "")
     for dotted, joined in K.DOTTED_SKILLS.items():
         plain = F.replace(plain, F.lit(dotted), F.lit(joined))
-    plain = F.regexp_replace(F.replace(plain, F.lit(" and "), F.lit(",")), r"(?U)\n\s*[-•*]\s*", ",")
-    parts = F.transform(F.split(plain, r"(?U)[,;.]|\s+as well as\s+"), T.clean_field)
+    plain = F.regexp_replace(F.replace(plain, F.lit(" and "), F.lit(",")), "(?U)" + K.SKILL_BULLET, ",")
+    parts = F.transform(F.split(plain, "(?U)" + K.SKILL_SPLIT), T.clean_field)
 
     def keep(p: Column) -> Column:
         def test(low: Column) -> Column:
@@ -261,7 +260,7 @@ def skills(section: Column, known: Column | None = None) -> Column:
 
     def add(acc: Column, p: Column) -> Column:
         covered = F.exists(acc, lambda a: F.contains(a, F.lit("in")) & F.contains(F.lower(p), a))
-        final = F.lower(F.regexp_replace(p, r"(?iU)^(?:and|or|also|with)\s+", ""))
+        final = F.lower(F.regexp_replace(p, "(?iU)" + K.SKILL_LEAD, ""))
         return T.let(final, lambda f: F.when(
             covered | (f == "") | F.array_contains(acc, f), acc).otherwise(F.array_append(acc, f)))
 

@@ -18,7 +18,7 @@ from talentweave.operators.lines import sections_of_text
 NEAR_MENTION = 250
 
 
-def _with_section(docs: DataFrame, text: str, name: str) -> DataFrame:
+def section_of(docs: DataFrame, text: str, name: str) -> DataFrame:
     return sections_of_text(docs, text).select("doc_id", FT.section_content(F.col("sections"), name).alias("section"))
 
 
@@ -31,7 +31,7 @@ def _segments(sections: DataFrame) -> DataFrame:
 def extract_experience_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, pos, title, company, period, description)`` of the experience section."""
     item = FT.job_item(F.col("before"), F.col("match"), F.col("after"))
-    jobs = _segments(_with_section(docs, text, "Experience")).select("doc_id", "pos", item.alias("j"))
+    jobs = _segments(section_of(docs, text, "Experience")).select("doc_id", "pos", item.alias("j"))
     return jobs.where(FT.is_job(F.col("j"))).select("doc_id", "pos", "j.*")
 
 
@@ -56,7 +56,7 @@ def link_title_company_text(docs: DataFrame, mentions: DataFrame, text: str = "t
 
     ``mentions`` are spans of the experience section.
     """
-    marked = _with_section(docs, text, "Experience").select("doc_id", FT.mark_dates(F.col("section")).alias("marked"))
+    marked = section_of(docs, text, "Experience").select("doc_id", FT.mark_dates(F.col("section")).alias("marked"))
     dates = located(marked, context=300)
     item = FT.job_item(F.col("before"), F.col("match"), F.col("after"))
     items = dates.select("doc_id", "pos", "start", item.alias("j")).select("doc_id", "pos", "start", "j.title", "j.company", "j.period")
@@ -74,13 +74,13 @@ def link_title_company_text(docs: DataFrame, mentions: DataFrame, text: str = "t
 def extract_education_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, pos, period, institution, degree, details)`` of the education section."""
     item = FT.education_item(F.col("before"), F.col("match"))
-    rows = _segments(_with_section(docs, text, "Education")).select("doc_id", "pos", item.alias("e"))
+    rows = _segments(section_of(docs, text, "Education")).select("doc_id", "pos", item.alias("e"))
     return rows.where(F.col("e.degree").isNotNull()).select("doc_id", "pos", "e.*")
 
 
 def extract_certifications(docs: DataFrame, text: str = "text", section: str = "Certifications") -> DataFrame:
     """Certificates: around each date, or one per capitalised line when the section has no date."""
-    parts = _with_section(docs, text, section).withColumn("parts", FT.marked_parts(F.col("section")))
+    parts = section_of(docs, text, section).withColumn("parts", FT.marked_parts(F.col("section")))
     found = F.when(F.size("parts") > 1, dated_certificates(F.col("parts"))).otherwise(FT.undated_certificates(F.col("section")))
     rows = parts.select("doc_id", F.posexplode(found).alias("pos", "c"))
     return rows.select("doc_id", "pos", "c.*")
@@ -109,7 +109,7 @@ def extract_contacts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _header(docs: DataFrame, text: str) -> DataFrame:
-    return _with_section(docs, text, "Header").withColumnRenamed("section", "header")
+    return section_of(docs, text, "Header").withColumnRenamed("section", "header")
 
 
 def extract_header_location(docs: DataFrame, text: str = "text") -> DataFrame:

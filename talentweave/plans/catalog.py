@@ -499,12 +499,11 @@ def render_posting_text(v: Views) -> DataFrame:
     return R.render_posting_text(v.posting_record()).select("num", "text")
 
 
-@query
-def experience_level_of_profile(v: Views) -> DataFrame:
+def _levels(v: Views) -> DataFrame:
     return v.profile().select("num", "total_experience", experience_level(F.col("total_experience")).alias("level"))
 
 
-QUERIES["experience_level"] = QUERIES.pop("experience_level_of_profile")
+QUERIES["experience_level"] = _levels
 
 
 @query
@@ -635,7 +634,7 @@ def link_title_company_text(v: Views) -> DataFrame:
     docs = _bare_text(v)
     terms = v.base("part").select(F.col("p_name").alias("term"), F.lit("JOB_TITLE").alias("kind")).distinct().unionByName(
         v.base("supplier").select(F.col("s_name").alias("term"), F.lit("COMPANY_NAME").alias("kind")))
-    sections = XT._with_section(docs, "text", "Experience")
+    sections = XT.section_of(docs, "text", "Experience")
     mentions = N.extract_mentions(sections, terms, "section", original_offsets=True)
     return XT.link_title_company_text(docs, mentions).select("doc_id", "pos", "title", "company", "period")
 
