@@ -75,7 +75,7 @@ def posting_rows(v: Views) -> DataFrame:
     quoted = F.transform("skills", lambda s: F.concat(F.lit("'"), s, F.lit("'")))
     listed = F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
     place = F.split("location", ", ")
-    return v.posting_record().select(
+    return v.written("posting_record").select(
         "num", "id", F.col("title").alias("job_title_short"), F.col("company").alias("company_name"),
         F.get(place, F.lit(0)).alias("job_location"),
         F.when(F.get(place, F.lit(1)) != "ASIA", F.get(place, F.lit(1))).alias("job_country"),
@@ -404,7 +404,7 @@ def project_schema_cv(v: Views) -> DataFrame:
 
 @query
 def project_schema_job(v: Views) -> DataFrame:
-    rows = v.posting_record().withColumn("key", F.col("id")).withColumn("id", F.when(F.col("num") % 2 == 0, F.col("id")))
+    rows = v.written("posting_record").withColumn("key", F.col("id")).withColumn("id", F.when(F.col("num") % 2 == 0, F.col("id")))
     return Q.project_schema_job(rows.withColumn("source", F.lit("jobs_dataset")))
 
 
@@ -487,7 +487,7 @@ def merge_skill_sets(v: Views) -> DataFrame:
 
 @query
 def explode_skills(v: Views) -> DataFrame:
-    rows = v.posting_record().withColumn("skills", F.array_append("skills", F.lit("")))
+    rows = v.written("posting_record").withColumn("skills", F.array_append("skills", F.lit("")))
     return J.explode_skills(rows).select("num", "skill")
 
 
@@ -496,7 +496,7 @@ def explode_skills(v: Views) -> DataFrame:
 
 @query
 def render_posting_text(v: Views) -> DataFrame:
-    return R.render_posting_text(v.posting_record()).select("num", "text")
+    return R.render_posting_text(v.written("posting_record")).select("num", "text")
 
 
 def _levels(v: Views) -> DataFrame:
@@ -971,7 +971,7 @@ def funnel_jobs_ranked(v: Views) -> DataFrame:
 
 def _frequency_query(name: str, column: str) -> None:
     def run(v: Views) -> DataFrame:
-        return A.frequency(v.posting(), column)
+        return A.frequency(v.written("posting"), column)
 
     QUERIES[name] = run
 
@@ -982,29 +982,29 @@ for _name, _column in (("freq_titles", "title"), ("freq_locations", "location"),
 
 @query
 def freq_skills(v: Views) -> DataFrame:
-    return A.freq_skills(v.posting_record())
+    return A.freq_skills(v.written("posting_record"))
 
 
 @query
 def freq_all(v: Views) -> DataFrame:
-    return A.freq_all(v.posting_record())
+    return A.freq_all(v.written("posting_record"))
 
 
 @query
 def top_n_report(v: Views) -> DataFrame:
-    return A.top_n_report(A.freq_all(v.posting_record())).withColumn("pct", F.round("pct", 6))
+    return A.top_n_report(A.freq_all(v.written("posting_record"))).withColumn("pct", F.round("pct", 6))
 
 
 @query
 def summary_stats(v: Views) -> DataFrame:
-    rows = v.posting_record().withColumn("skills", F.when(F.col("level_phrase").isNotNull(), F.col("skills")))
+    rows = v.written("posting_record").withColumn("skills", F.when(F.col("level_phrase").isNotNull(), F.col("skills")))
     return A.summary_stats(rows)
 
 
 @query
 def report_document(v: Views) -> DataFrame:
     path = fresh_path(v.spark, "report")
-    ST.write_report(A.report_document(v.posting_record()), path)
+    ST.write_report(A.report_document(v.written("posting_record")), path)
     stats = "unique_job_titles bigint, unique_skills bigint, unique_locations bigint, unique_companies bigint"
     maps = ["top_job_titles", "top_skills", "top_locations", "top_companies", "categories"]
     ddl = "total_jobs bigint, " + ", ".join(f"{m} map<string, bigint>" for m in maps) + f", statistics struct<{stats.replace(' bigint', ': bigint')}>"
@@ -1026,7 +1026,7 @@ def report_document(v: Views) -> DataFrame:
 
 @query
 def to_key_value(v: Views) -> DataFrame:
-    rows = R.render_posting_text(v.posting_record()).withColumn("source", F.lit("jobs_dataset"))
+    rows = R.render_posting_text(v.written("posting_record")).withColumn("source", F.lit("jobs_dataset"))
     return ST.to_key_value(rows, F.col("text"), "text")
 
 
