@@ -33,7 +33,7 @@ from talentweave.schemas import TEXT_DATA
 from talentweave.session import fresh_path, landed_once, written_once
 from talentweave.sources import readers as SR
 from talentweave.sources import tables as ST
-from talentweave.streaming import pipeline as SP
+from talentweave.streaming import intake as SP
 
 Query = Callable[[Views], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -22,7 +22,7 @@ from talentweave.plans import onboarding
 from talentweave.session import fresh_path
 from talentweave.sources import readers as SR
 from talentweave.sources import tables as ST
-from talentweave.streaming import pipeline as SP
+from talentweave.streaming import intake as SP
 
 TYPES = "num bigint, embedding array<float>"
 
