@@ -74,13 +74,9 @@ def dedup_content(df: DataFrame, num: str = "num", content: str = "raw_data") ->
     Only hashes and numbers are grouped, so copies fold together before the shuffle; the texts move once.
     """
     hashed = content_hash(df, content)
-    first = (
-        hashed.where(F.col("content_hash").isNotNull())
-        .groupBy("content_hash")
-        .agg(F.min(num).alias(num))
-    )
-    kept = hashed.join(first.select(num), num, "left_semi")
-    return kept.unionByName(hashed.where(F.col("content_hash").isNull()))
+    key = F.coalesce("content_hash", F.concat(F.lit("null "), F.col(num).cast("string")))
+    first = hashed.groupBy(key.alias("_key")).agg(F.min(num).alias(num))
+    return hashed.join(first.select(num), num, "left_semi")
 
 
 def latest_document(df: DataFrame) -> DataFrame:
