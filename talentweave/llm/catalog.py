@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talentweave.llm.host_rules import op4_host_rules
+from talentweave.llm.records import op1_token_records
+from talentweave.llm.sharding import op5_balanced_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_records": op1_token_records,
     "op4_host_rules": op4_host_rules,
+    "op5_balanced_shards": op5_balanced_shards,
 }
 ORACLES: dict[str, str] = {}
