@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talentweave.llm.host_rules import op4_host_rules
+from talentweave.llm.private import op7_private_spans
 from talentweave.llm.records import op1_token_records
 from talentweave.llm.sharding import op5_balanced_shards
+from talentweave.llm.toxicity import op2_toxicity_ftrl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op2_toxicity_ftrl": op2_toxicity_ftrl,
     "op4_host_rules": op4_host_rules,
     "op5_balanced_shards": op5_balanced_shards,
+    "op7_private_spans": op7_private_spans,
 }
 ORACLES: dict[str, str] = {}
