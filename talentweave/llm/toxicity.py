@@ -12,7 +12,7 @@ label. Without any usable label all scores are 0.5. Repeated rows score alike; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,6 +104,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _learner(kept: np.ndarray, z: np.ndarray, n: np.ndarray, weight: float, r: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One task's part of a round; gives its steps away from the common state."""
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("doc_id", kind="stable")
+        sets = [np.searchsorted(kept, np.intersect1d(x, kept, assume_unique=True)) for x in part["found"]]
+        zs, ns = z.copy(), n.copy()
+        ftrl(sets, part["label"].to_numpy(float), zs, ns, weight, seed=r)
+        moved = np.flatnonzero(ns != n)
+        return pd.DataFrame({"at": moved, "z": (zs - z)[moved], "n": (ns - n)[moved]})
+
+    return learn
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> pd.Series:
     """Weights by coordinate, without zeros. ``labels`` has doc_id and label (0 or 1)."""
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -137,15 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> pd.Seri
     weight = min(MOST_WEIGHT, max(1.0, sizes.get(0, 0) / sizes[1]))
     z, n = np.zeros(len(kept)), np.zeros(len(kept))
     for r in range(ROUNDS):
-
-        def learn(part: pd.DataFrame, z: np.ndarray = z, n: np.ndarray = n, r: int = r) -> pd.DataFrame:
-            part = part.sort_values("doc_id", kind="stable")
-            sets = [np.searchsorted(kept, np.intersect1d(x, kept, assume_unique=True)) for x in part["found"]]
-            zs, ns = z.copy(), n.copy()
-            ftrl(sets, part["label"].to_numpy(float), zs, ns, weight, seed=r)
-            return pd.DataFrame({"at": np.arange(len(kept)), "z": zs - z, "n": ns - n})
-
-        steps = sample.groupBy("part").applyInPandas(learn, "at long, z double, n double")
+        steps = sample.groupBy("part").applyInPandas(_learner(kept, z, n, weight, r), "at long, z double, n double")
         mean = steps.groupBy("at").agg((F.sum("z") / TRAIN_TASKS).alias("z"), (F.sum("n") / TRAIN_TASKS).alias("n")).toPandas()
         at = mean["at"].to_numpy(np.int64)
         z, n = z.copy(), n.copy()
