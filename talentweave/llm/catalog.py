@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talentweave.llm.host_rules import op4_host_rules
+from talentweave.llm.near_copies import op8_near_copies
 from talentweave.llm.private import op7_private_spans
 from talentweave.llm.records import op1_token_records
 from talentweave.llm.sharding import op5_balanced_shards
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_host_rules": op4_host_rules,
     "op5_balanced_shards": op5_balanced_shards,
     "op7_private_spans": op7_private_spans,
+    "op8_near_copies": op8_near_copies,
 }
 ORACLES: dict[str, str] = {}
