@@ -10,8 +10,8 @@ that time for documents where one isn't.
 
 Signatures are cut into 24 bands of 4 values: a pair of similarity 0.8 is missed by all of them with probability 3e-6. In each bucket
 all members are held against its smallest one, exactly, by their multisets. Where a bucket then still holds several components, its
-members of different components are compared by signature, in tiles of bounded size, and exactly where the signatures leave a
-similarity of 0.8 possible. Classes are the connected components of all links, so copies of copies share one.
+members of different components are compared in tiles of bounded size: by signature, and exactly where the signatures leave a
+similarity of 0.8 possible. Only links leave a tile. Classes are the connected components of all links, so copies of copies share one.
 
 Null texts are empty texts. Texts without words, like all texts, are copies of equal texts only; texts of one to four words are one
 shingle. Rows are told apart by doc_id and text, so repeated rows share a class. An empty table gives an empty result.
@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,18 +185,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batched(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def texts_of(wanted: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
+    """``vertex``, ``text`` of the wanted vertices, once each."""
+    wanted = vertices.join(wanted.distinct(), "vertex").select("vertex", "doc_id", "text_key")
+    texts = (
+        _chosen(docs).withColumnRenamed("doc_id", "_d").join(wanted, "text_key").where(F.col("_d").eqNullSafe(F.col("doc_id")))
+        .select("vertex", "text").dropDuplicates(["vertex"])
+    )
+    return written(texts, "texts")
+
+
 def linked(pairs: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of vertices whose multisets really overlap enough.
 
     Texts of the vertices in pairs move to the pairs; the rows of a vertex with very many pairs spread by a salt of its partner.
     """
-    ends = pairs.select(F.col("a").alias("vertex")).union(pairs.select(F.col("b").alias("vertex"))).distinct()
-    wanted = vertices.join(ends, "vertex").select("vertex", "doc_id", "text_key")
-    texts = (
-        _chosen(docs).withColumnRenamed("doc_id", "_d").join(wanted, "text_key").where(F.col("_d").eqNullSafe(F.col("doc_id")))
-        .select("vertex", "text").dropDuplicates(["vertex"])
-    )
-    texts = written(texts, "texts")
+    texts = texts_of(pairs.select(F.col("a").alias("vertex")).union(pairs.select(F.col("b").alias("vertex"))), vertices, docs)
     salts = 16
     spread = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     heavy = pairs.groupBy("a").count().where("count > 256").select("a", F.lit(True).alias("heavy"))
@@ -210,38 +213,60 @@ def linked(pairs: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "text_a", "b", "text_b").sortWithinPartitions("a").mapInArrow(_verify, "a long, b long")
 
 
-def _tile(part: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one tile that are in different components and may be similar, from the first band that they share."""
-    band, i, j = part["band"].iloc[0], part["i"].iloc[0], part["j"].iloc[0]
-    left, right = (part[part["block"] == k].sort_values("vertex") for k in (i, j))
-    a, b = (np.frombuffer(b"".join(p["values"]), np.uint32).reshape(-1, SLOTS) for p in (left, right))
+def _tile(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links between different components in one tile: likely ones by signature, then exactly by their multisets."""
+    i, j, band = rows[0][1], rows[0][2], rows[0][0]
+    left, right = ([r for r in rows if r[3] == k] for k in (i, j))
+    if not left or not right:
+        return
+    a, b = (np.frombuffer(b"".join(r[6] for r in part), np.uint32).reshape(-1, SLOTS) for part in (left, right))
     ha, hb = band_hashes(a).view(np.int64), band_hashes(b).view(np.int64)
-    found = []
-    for k in range(len(a)):
-        same = (b == a[k]).mean(1) >= LIMIT - MARGIN
-        same &= (right["component"].to_numpy() != left["component"].iloc[k]) & (right["vertex"].to_numpy() != left["vertex"].iloc[k])
-        if i == j:
-            same &= right["vertex"].to_numpy() > left["vertex"].iloc[k]
-        at = np.flatnonzero(same)
-        first = (hb[at] == ha[k]).argmax(1)
-        at = at[ha[k][first] == band]
-        found += [(left["vertex"].iloc[k], v) for v in right["vertex"].to_numpy()[at]]
-    return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
-
-
-def across(bands: DataFrame, vertices: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs within buckets that still hold several components."""
+    vertex, component = np.array([r[4] for r in right]), np.array([r[5] for r in right])
+    sets: dict[int, tuple] = {}
+
+    def of(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if row[4] not in sets:
+            sets[row[4]] = multiset((row[7] or "").encode())
+        return sets[row[4]]
+
+    for k, row in enumerate(left):
+        at = np.flatnonzero((component != row[5]) & ((vertex > row[4]) if i == j else (vertex != row[4])))
+        at = at[(b[at] == a[k]).mean(1) >= LIMIT - MARGIN] if len(at) else at
+        # A pair is looked at in the first of the buckets that it shares.
+        at = at[ha[k][(hb[at] == ha[k]).argmax(1)] == band] if len(at) else at
+        for m in at:
+            if overlap(of(row), of(right[m])) >= LIMIT:
+                yield min(row[4], right[m][4]), max(row[4], right[m][4])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        held: list[tuple] = []
+        for row in rows_of(batches, "band", "i", "j", "block", "vertex", "component", "values", "text"):
+            if held and held[0][:3] != row[:3]:
+                yield from _tile(held)
+                held = []
+            held.append(row)
+        if held:
+            yield from _tile(held)
+
+    yield from batched(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def across(bands: DataFrame, vertices: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links within buckets that still hold several components."""
     named = bands.join(labels.withColumnRenamed("component", "_c"), "vertex", "left").withColumn("component", F.coalesce("_c", "vertex")).drop("_c")
-    mixed_ = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    several = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     blocks = F.ceil(F.col("n") / TILE).cast("int")
-    members = (
-        named.join(mixed_.select("band", blocks.alias("blocks")), "band")
-        .withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    members = written(named.join(several.select("band", blocks.alias("blocks")), "band"), "members")
+    facts = texts_of(members.select("vertex"), vertices, docs).join(vertices.select("vertex", "values"), "vertex")
+    tiles = (
+        members.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(facts, "vertex")
+        .select("band", "i", "j", "block", "vertex", "component", "values", "text")
     )
-    members = members.join(vertices.select("vertex", "values"), "vertex").select("band", "i", "j", "block", "vertex", "component", "values")
-    return members.groupBy("band", "i", "j").applyInPandas(_tile, "a long, b long").distinct()
+    return tiles.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "vertex").mapInArrow(_tiles, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -256,10 +281,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pairs = shared.where("vertex <> hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct()
     links = written(linked(written(pairs, "pairs"), vertices, docs), "star-links")
     labels = written(components(links), "labels")
-    rest = written(across(shared.select("vertex", "band"), vertices, labels), "rest").join(pairs, ["a", "b"], "left_anti")
-    rest = written(rest, "rest-pairs")
+    rest = written(across(shared.select("vertex", "band"), vertices, labels, docs), "rest")
     if not rest.isEmpty():
-        labels = components(links.union(linked(rest, vertices, docs)))
+        labels = components(links.union(rest))
     named = vertices.join(labels, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     classes = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     keys = named.join(classes, "component").select("text_key", "class_id")
