@@ -24,9 +24,9 @@ from talentweave.llm.common import batched, rows_of, table, written
 
 BITS = 20
 #: Labelled rows to learn from, as an expected number, and tasks that learn.
-TRAIN_ROWS, TRAIN_TASKS, ROUNDS, EPOCHS = 16_000, 4, 3, 2
-#: Coordinates that fewer sampled rows have are left out, so that rare pairs don't take a word's weight.
-LEAST_ROWS = 10
+TRAIN_ROWS, TRAIN_TASKS, ROUNDS, EPOCHS = 8_000, 4, 3, 2
+#: Coordinates that fewer sampled rows, or a smaller share of them, have are left out, so that rare pairs don't take a word's weight.
+LEAST_ROWS, LEAST_SHARE = 10, 0.0025
 #: Toxic rows are rare; their gradients count as many times as clean rows outnumber them, up to this.
 MOST_WEIGHT = 8.0
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
@@ -104,11 +104,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _learner(kept: np.ndarray, z: np.ndarray, n: np.ndarray, weight: float, r: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _learner(z: np.ndarray, n: np.ndarray, weight: float, r: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """One task's part of a round; gives its steps away from the common state."""
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("doc_id", kind="stable")
-        sets = [np.searchsorted(kept, np.intersect1d(x, kept, assume_unique=True)) for x in part["found"]]
+        sets = [np.asarray(x, np.int64) for x in part["found"]]
         zs, ns = z.copy(), n.copy()
         ftrl(sets, part["label"].to_numpy(float), zs, ns, weight, seed=r)
         moved = np.flatnonzero(ns != n)
@@ -142,15 +142,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> pd.Seri
         yield from batched(rows(), _set_schema, 512)
 
     sample = written(sample.mapInArrow(sets_of, "doc_id long, part int, label int, found array<int>"), "toxicity")
-    seen = sample.select(F.explode("found").alias("c")).groupBy("c").count().where(F.col("count") >= LEAST_ROWS)
-    kept = np.sort(seen.toPandas()["c"].to_numpy(np.int64))  # at most one row a coordinate
     sizes = dict(sample.groupBy("label").count().collect())
+    least = max(LEAST_ROWS, LEAST_SHARE * sum(sizes.values()))
+    seen = sample.select(F.explode("found").alias("c")).groupBy("c").count().where(F.col("count") >= least)
+    kept = np.sort(seen.toPandas()["c"].to_numpy(np.int64))  # at most one row a coordinate
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((d, p, y, np.searchsorted(kept, np.intersect1d(x, kept, assume_unique=True))) for d, p, y, x in rows_of(batches, "doc_id", "part", "label", "found"))
+        yield from batched(found, _set_schema, 512)
+
+    sample = written(sample.mapInArrow(narrow, "doc_id long, part int, label int, found array<int>"), "toxicity")
     if len(sizes) < 2:
         return pd.Series([], index=np.zeros(0, np.int64), dtype=float)
     weight = min(MOST_WEIGHT, max(1.0, sizes.get(0, 0) / sizes[1]))
     z, n = np.zeros(len(kept)), np.zeros(len(kept))
     for r in range(ROUNDS):
-        steps = sample.groupBy("part").applyInPandas(_learner(kept, z, n, weight, r), "at long, z double, n double")
+        steps = sample.groupBy("part").applyInPandas(_learner(z, n, weight, r), "at long, z double, n double")
         mean = steps.groupBy("at").agg((F.sum("z") / TRAIN_TASKS).alias("z"), (F.sum("n") / TRAIN_TASKS).alias("n")).toPandas()
         at = mean["at"].to_numpy(np.int64)
         z, n = z.copy(), n.copy()
