@@ -10,6 +10,7 @@ from talentweave.llm.host_rules import op4_host_rules
 from talentweave.llm.near_copies import op8_near_copies
 from talentweave.llm.private import op7_private_spans
 from talentweave.llm.records import op1_token_records
+from talentweave.llm.repeated_bytes import op10_repeated_bytes
 from talentweave.llm.sharding import op5_balanced_shards
 from talentweave.llm.toxicity import op2_toxicity_ftrl
 
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_balanced_shards": op5_balanced_shards,
     "op7_private_spans": op7_private_spans,
     "op8_near_copies": op8_near_copies,
+    "op10_repeated_bytes": op10_repeated_bytes,
 }
 ORACLES: dict[str, str] = {}
