@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talentweave.llm.host_rules import op4_host_rules
+from talentweave.llm.leaks import op9_leaks
+from talentweave.llm.licenses import op6_licenses
 from talentweave.llm.near_copies import op8_near_copies
 from talentweave.llm.private import op7_private_spans
 from talentweave.llm.records import op1_token_records
@@ -19,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_ftrl": op2_toxicity_ftrl,
     "op4_host_rules": op4_host_rules,
     "op5_balanced_shards": op5_balanced_shards,
+    "op6_licenses": op6_licenses,
     "op7_private_spans": op7_private_spans,
     "op8_near_copies": op8_near_copies,
+    "op9_leaks": op9_leaks,
     "op10_repeated_bytes": op10_repeated_bytes,
 }
 ORACLES: dict[str, str] = {}
