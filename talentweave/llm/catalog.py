@@ -10,6 +10,7 @@ from talentweave.llm.host_rules import op4_host_rules
 from talentweave.llm.leaks import op9_leaks
 from talentweave.llm.licenses import op6_licenses
 from talentweave.llm.near_copies import op8_near_copies
+from talentweave.llm.packing import op3_packed
 from talentweave.llm.private import op7_private_spans
 from talentweave.llm.records import op1_token_records
 from talentweave.llm.repeated_bytes import op10_repeated_bytes
@@ -19,6 +20,7 @@ from talentweave.llm.toxicity import op2_toxicity_ftrl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_toxicity_ftrl": op2_toxicity_ftrl,
+    "op3_packed": op3_packed,
     "op4_host_rules": op4_host_rules,
     "op5_balanced_shards": op5_balanced_shards,
     "op6_licenses": op6_licenses,

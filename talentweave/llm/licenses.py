@@ -70,11 +70,13 @@ def with_shingles(df: DataFrame) -> DataFrame:
     return df.select(*rest, F.explode(F.array(runs)).alias("shingles"))
 
 
+def smallest(window: Column, seed: int) -> Column:
+    return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(seed))))
+
+
 def minima(window: Column) -> Column:
     """One band for each seed: the seed's number and the smallest seeded hash of the window."""
-    return F.array(*[
-        F.xxhash64(F.lit(k), F.array_min(F.transform(window, lambda x, k=k: F.xxhash64(x, F.lit(k))))) for k in range(BANDS)
-    ])
+    return F.array(*[F.xxhash64(F.lit(k), smallest(window, k)) for k in range(BANDS)])
 
 
 def templates_of(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
