@@ -137,6 +137,8 @@ def _star_order(text: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.nda
         span *= 2
         sizes = np.diff(np.append(np.flatnonzero(head), len(members)))
         open_ = members[np.repeat(sizes > 1, sizes)]
+        # Names that cover the depth need no more.
+        open_ = open_[np.append(stars, len(text))[np.minimum(open_ + span, n)] - stars[open_] < depth]
     order = np.argsort(rank, kind="stable")
     a, b = order[:-1].copy(), order[1:].copy()
     # Names in common, from the longest spans down, then symbols one word at a time.

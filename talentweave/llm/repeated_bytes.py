@@ -28,14 +28,14 @@ from talentweave.llm.common import batched, rows_of, table, written
 from talentweave.llm.induced import suffix_order
 from talentweave.llm.near_copies import text_key
 from talentweave.llm.records import opened
-from talentweave.llm.repeats_windows import stretches
+from talentweave.llm.repeats_windows import GRAM, gram_hashes, stretches
 from talentweave.session import fresh_path
 
 WINDOW = 400
 #: Bytes of stretches that a shard should hold, and different stretches of one k-gram from which windows count by digest.
-SHARD_BYTES, GROUP_STRETCHES = 6 << 20, 8192
+SHARD_BYTES, GROUP_STRETCHES = 3 << 20, 4096
 #: Tuples that the queues of one sort hold in memory.
-QUEUE_TUPLES = 1 << 23
+QUEUE_TUPLES = 1 << 22
 
 _stretch_schema = pa.schema([
     ("doc_id", pa.int64()), ("text_key", pa.string()), ("gram", pa.int64()), ("content", pa.binary()), ("first", pa.int64()), ("last", pa.int64()),
@@ -60,8 +60,43 @@ def all_stretches(docs: DataFrame, window: int) -> DataFrame:
     return _chosen(docs).mapInArrow(run, "doc_id long, text_key string, gram long, content binary, first long, last long")
 
 
+def likely_parts(strings: list[bytes], window: int) -> list[tuple[int, int, int]]:
+    """``(string, first, last)`` runs of starts whose windows hold no k-gram that occurs once among the strings."""
+    sizes = np.array([len(s) for s in strings])
+    ends = np.cumsum(sizes)
+    hashes = gram_hashes(np.frombuffer(b"".join(strings), np.uint8))
+    ordered = np.sort(hashes)
+    twice = np.zeros(1 << 24, bool)
+    twice[(ordered[1:][ordered[1:] == ordered[:-1]] >> np.uint64(40)).astype(np.int64)] = True
+    single = np.concatenate([[0], np.cumsum(~twice[(hashes >> np.uint64(40)).astype(np.int64)])])
+    out = []
+    for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
+        first = np.arange(end - size, end - window + 1)
+        fine = np.flatnonzero(single[first + window - GRAM + 1] == single[first])
+        out += [(i, x, y) for x, y in runs(fine)]
+    return out
+
+
 def repeated_starts(strings: list[bytes], window: int, **queue: object) -> list[np.ndarray]:
     """Of each string, the starts (0 and on) whose ``window`` bytes start elsewhere among the strings, too."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in strings]
+    parts = likely_parts(strings, window)
+    if parts:
+        text, sizes = _joined([strings[i][a:b + window] for i, a, b in parts])
+        position, prefix = suffix_order(text, window, **queue)
+        enough = prefix >= window
+        enough[:-1] |= enough[1:]
+        marked = np.zeros(len(text), bool)
+        marked[position[enough]] = True
+        # A match over a string's end holds that end, so it is none.
+        for (i, a, _), end, size in zip(parts, np.cumsum(sizes), sizes, strict=True):
+            starts = np.flatnonzero(marked[end - size:end])
+            out[i].append(starts[starts + window < size] + a)
+    return [np.concatenate(x) for x in out]
+
+
+def _joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes plus one, with a 0 after each string, and the sizes with it."""
     sizes = np.array([len(s) + 1 for s in strings])
     text = np.zeros(int(sizes.sum()), np.uint16)
     at = 0
@@ -69,19 +104,7 @@ def repeated_starts(strings: list[bytes], window: int, **queue: object) -> list[
         text[at:at + len(s)] = np.frombuffer(s, np.uint8)
         text[at:at + len(s)] += 1
         at += len(s) + 1
-    position, prefix = suffix_order(text, window, **queue)
-    enough = prefix >= window
-    either = enough.copy()
-    either[:-1] |= enough[1:]
-    marked = np.zeros(len(text), bool)
-    marked[position[either]] = True
-    # A match over a string's end holds that end, so it is none.
-    ends = np.cumsum(sizes)
-    out = []
-    for end, size in zip(ends, sizes, strict=True):
-        starts = np.flatnonzero(marked[end - size:end])
-        out.append(starts[starts + window < size])
-    return out
+    return text, sizes
 
 
 def runs(starts: np.ndarray) -> list[tuple[int, int]]:
