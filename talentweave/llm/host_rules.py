@@ -128,9 +128,9 @@ def host_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """Documents that pass, with their own columns. A document is named by its id and host."""
     judged = host_rules(docs.select("doc_id", "text", host), host, limit)
-    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "host").distinct()
+    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("host").alias("_host")).distinct()
     return docs.join(
-        rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & F.col(host).cast("string").eqNullSafe(F.col("host")),
+        rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & F.col(host).cast("string").eqNullSafe(F.col("_host")),
         "left_anti",
     )
 

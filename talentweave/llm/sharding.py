@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from talentweave.llm.common import positioned, table, written
 
 SHARDS = 40
-ROUNDS = 6
+ROUNDS = 12
 #: Room over an even share while rows still move; the last step is exact.
 SLACK = 0.02
 ROW_OVERHEAD = 16
@@ -39,35 +39,31 @@ def _share(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / float(1 << 53)
 
 
-def move_quotas(wishes: dict[tuple[int, int], int], linked: list[int], loose: list[int], capacity: float) -> dict[tuple[int, int], float]:
+def move_quotas(wishes: dict[tuple[int, int], int], linked: list[int], capacity: float) -> dict[tuple[int, int], float]:
     """Share of the rows wishing to go from one shard to another that may go.
 
-    Loose rows (without links) can be put anywhere at no cost, so a shard has room for its linked rows up to the
-    capacity; rows leaving make room, so grants are raised until nothing changes.
+    All wishes are granted at first, so that shards which are full can exchange rows. Where a shard would then hold
+    too many linked rows, those coming in are cut in proportion; that keeps rows elsewhere, so it is repeated until all fit. Rows
+    without links don't count: they fill what is left at the end.
     """
-    n = len(linked)
-    granted = {k: 0.0 for k in wishes}
-    for _ in range(20):
+    granted = {k: float(v) for k, v in wishes.items()}
+    for _ in range(100):
         changed = False
-        for j in range(n):
-            held = linked[j] - sum(v for (a, _), v in granted.items() if a == j)
+        for j in range(len(linked)):
             coming = sum(v for (_, b), v in granted.items() if b == j)
-            room = capacity - held - coming
-            open_ = {k: wishes[k] - granted[k] for k in wishes if k[1] == j and wishes[k] > granted[k]}
-            total = sum(open_.values())
-            if room >= 1 and total:
-                part = min(1.0, room / total)
-                for k, v in open_.items():
-                    granted[k] += part * v
+            staying = linked[j] - sum(v for (a, _), v in granted.items() if a == j)
+            if coming and staying + coming > capacity + 1e-6:
+                part = max(0.0, capacity - staying) / coming
+                granted.update({k: v * part for k, v in granted.items() if k[1] == j})
                 changed = True
         if not changed:
             break
-    return {k: granted[k] / wishes[k] for k in wishes if granted[k] > 0}
+    return {k: v / wishes[k] for k, v in granted.items() if v > 0}
 
 
-def propagate(linked: DataFrame, loose: int, rows: int, shards: int, rounds: int) -> DataFrame:
+def propagate(linked: DataFrame, rows: int, shards: int, rounds: int) -> DataFrame:
     """Rows with links (``group``, ``row``, ``n``) get ``label``; every round is written, so lost work restarts there."""
-    capacity = (1 + SLACK) * rows / shards
+    capacity = (1 + SLACK) * rows / shards + 2
     now = linked.withColumn("label", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     now = written(now, "labels")
     for r in range(rounds):
@@ -90,7 +86,7 @@ def propagate(linked: DataFrame, loose: int, rows: int, shards: int, rounds: int
         if not wishes:
             return now
         held = [sum(v for (a, _), v in flows.items() if a == j) for j in range(shards)]
-        quotas = move_quotas(wishes, held, [loose // shards] * shards, capacity)
+        quotas = move_quotas(wishes, held, capacity)
         if not quotas:
             return now
         granted = linked.sparkSession.createDataFrame([(a, b, q) for (a, b), q in quotas.items()], "label int, wish int, quota double")
@@ -109,8 +105,7 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     sizes = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     linked = rows.select("group", "row").join(sizes, "group")
     total = rows.count()
-    n_linked = sizes.agg(F.sum("n")).first()[0] or 0
-    labels = propagate(linked, total - n_linked, total, shards, rounds)
+    labels = propagate(linked, total, shards, rounds)
     placed = rows.join(labels.select("row", "label"), "row", "left").withColumn("label", F.coalesce("label", F.lit(shards)))
     placed = positioned(placed, ["label", "group", "doc_id", "row"], "placed")
     counts = dict(placed.groupBy("label").count().collect())  # one row a shard
