@@ -14,7 +14,6 @@ TOPIC_TABLES = {
     "processed_schema_job": "schema_job",
     "processed_text_job": "text_job",
 }
-MAX_DOCUMENT_BYTES = 10_485_760
 DEFAULT_CSV_COLUMN = "Resume_str"
 PLACEHOLDERS = ["unknown", "not provided"]
 AS_OF_YEAR = 2026

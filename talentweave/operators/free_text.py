@@ -198,4 +198,4 @@ def parse_resume_text(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def capitalized(c: Column) -> Column:
     """First letter upper case, the rest lower case."""
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2))))

@@ -16,8 +16,8 @@ QUERY_BLOCK = 16_384
 DOCUMENT_BLOCK = 131_072
 # Products held at a time by one task: 64 MB of 4-byte floats.
 TILE = 1 << 24
-# Rounding of a 64-term product is far below this; every true top-k row passes the first cut.
-SLACK = 1e-4
+# Rounding steps a term that a first cut allows for; every true top-k row passes it.
+SLACK_STEPS = 4
 HIT_SCHEMA = "query_num bigint, match_num bigint, sim double"
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -63,14 +63,15 @@ def _top_k(queries: np.ndarray, docs: np.ndarray, doc_nums: np.ndarray, k: int)
         return _none()
     rows = max(1, TILE // len(docs))
     fast = docs.astype(np.float32).T
+    # Rounding of a 4-byte product grows with the lengths of both vectors, not with the product.
+    slack = SLACK_STEPS * queries.shape[1] * np.finfo(np.float32).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(docs, axis=1).max()
     parts = []
     for first in range(0, len(queries), rows):
         tile = queries[first : first + rows]
         rough = tile.astype(np.float32) @ fast
         if rough.shape[1] > k:
             kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
-            size = np.maximum(np.abs(rough).max(axis=1), 1.0)
-            q, d = np.nonzero(rough >= (kth - SLACK * size)[:, None])
+            q, d = np.nonzero(rough >= (kth - slack[first : first + rows])[:, None])
         else:
             q, d = (a.ravel() for a in np.indices(rough.shape))
         sim = np.zeros(len(q))
@@ -158,7 +159,7 @@ def lookup_text_embedding(texts: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def id_number(id_: Column) -> Column:
     """Integer part of a document id."""
-    return F.substring(id_, 2, 20).cast("bigint")
+    return F.substr(id_, F.lit(2)).cast("bigint")
 
 
 def id_from_number(kind: str, num: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from talentweave import constants as K
 from talentweave.functions import text as T
@@ -32,7 +33,11 @@ def read_csv_column(spark: SparkSession, path: str, column: str = K.DEFAULT_CSV_
 
 
 def read_posting_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POSTING_CSV).options(**CSV_OPTIONS).option("enforceSchema", "false").csv(path)
+    """The posting columns by their names in the header, in any order and beside others; a missing one is null."""
+    rows = spark.read.options(**CSV_OPTIONS).csv(path)
+    return rows.select(*[
+        (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(POSTING_CSV)
+    ])
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +86,7 @@ def ingest_union(spark: SparkSession, descriptors: list[dict]) -> DataFrame:
     """``(raw_data, source, type, category, error)`` of all described inputs that exist and have a known type.
 
     A descriptor has ``path``, ``source``, ``type``, and may have ``col`` and ``category`` (résumé when left out).
-    Records above the accepted size keep their row and get an ``error``.
+    Records of any size are taken; ``error`` is for later steps.
     """
     out = spark.createDataFrame([], "raw_data string, source string, type string, category string")
     for d in descriptors:
@@ -96,5 +101,4 @@ def ingest_union(spark: SparkSession, descriptors: list[dict]) -> DataFrame:
             raise
         tags = [F.lit(d["source"]).alias("source"), F.lit(d["type"]).alias("type"), F.lit(d.get("category", "cv")).alias("category")]
         out = out.unionByName(rows.select("raw_data", *tags))
-    too_big = F.octet_length("raw_data") > K.MAX_DOCUMENT_BYTES
-    return out.withColumn("error", F.when(too_big, F.lit("record exceeds the accepted size")))
+    return out.withColumn("error", F.lit(None).cast("string"))

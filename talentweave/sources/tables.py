@@ -9,7 +9,6 @@ from talentweave import constants as K
 from talentweave.schemas import ENVELOPE, parsed
 
 ROWS_PER_FILE = 1_000_000
-MAX_MATCH_FOLDERS = 100
 
 
 def decode_envelope(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -69,13 +68,9 @@ def compact_tables(spark: SparkSession, path: str, target: str, rows_per_file: i
     return spark.read.parquet(target)
 
 
-def write_matches(matches: DataFrame, path: str, by: str = "query_id") -> None:
-    """One folder per query when there are few queries, else plain files."""
-    few = matches.select(by).distinct().limit(MAX_MATCH_FOLDERS + 1).count() <= MAX_MATCH_FOLDERS
-    if few:
-        matches.repartition(by).write.mode("append").partitionBy(by).parquet(path)
-    else:
-        matches.write.mode("append").parquet(path)
+def write_matches(matches: DataFrame, path: str) -> None:
+    """Append in one layout, whatever the number of queries, so that all appends are read together."""
+    matches.write.mode("append").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
