@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from talentweave.llm.common import worker_cache
 
 END_ID = 2
-WORDS_KEPT, PIECES_KEPT = 300_000, 500_000
+WORDS_KEPT, PIECES_KEPT = 700_000, 900_000
 #: Words of ASCII and the letters of Latin-1, which need no other normalizing than lower case, and how the tokenizer
 #: splits them. Other words go through its own normalizer and splitter.
 PLAIN_WORD = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
