@@ -83,12 +83,13 @@ def propagate(linked: DataFrame, rows: int, shards: int, rounds: int) -> DataFra
         asked = written(asked, "wishes")
         flows = {(x["label"], x["wish"]): x["c"] for x in asked.groupBy("label", "wish").agg(F.count("*").alias("c")).collect()}  # shards² rows at most
         wishes = {k: v for k, v in flows.items() if k[0] != k[1]}
-        if not wishes:
-            return now
+        settled = asked.select("group", "row", "n", F.col("wish").alias("label"))
+        if not wishes or r == rounds - 1:
+            return settled  # what no longer fits is moved on, group by group, by the exact step
         held = [sum(v for (a, _), v in flows.items() if a == j) for j in range(shards)]
         quotas = move_quotas(wishes, held, capacity)
         if not quotas:
-            return now
+            return settled
         granted = linked.sparkSession.createDataFrame([(a, b, q) for (a, b), q in quotas.items()], "label int, wish int, quota double")
         whole = F.col("n") <= F.lit(capacity / 8)
         share = F.when(whole, _share(r, "group")).otherwise(_share(r, "row"))
