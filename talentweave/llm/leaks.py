@@ -131,6 +131,8 @@ class Items:
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], owners[order]
+        self.key_bits = np.zeros(1 << 24, bool)
+        self.key_bits[(keys >> np.uint64(40)).astype(np.int64)] = True
 
     def starts(self, words: np.ndarray) -> np.ndarray:
         """Window starts whose reach holds enough triples of items."""
@@ -153,11 +155,11 @@ class Items:
             out = walk(words, starts, ends, number, self.steps)
             for c in self.classes:
                 keys = sampled(out, number, c).ravel()
-                lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-                hits = np.flatnonzero(hi > lo)
-                counts = (hi - lo)[hits]
+                hits = np.flatnonzero(self.key_bits[(keys >> np.uint64(40)).astype(np.int64)])
+                lo, hi = np.searchsorted(self.keys, keys[hits], "left"), np.searchsorted(self.keys, keys[hits], "right")
+                counts = hi - lo
                 offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                items = self.owners[np.repeat(lo[hits], counts) + offset]
+                items = self.owners[np.repeat(lo, counts) + offset]
                 found.append(np.repeat(hits % len(starts), counts) * len(self.items) + items)
         return np.unique(np.concatenate(found))
 
@@ -170,7 +172,11 @@ _schema = pa.schema([
 
 def matches(texts: list[str | None], block: Items) -> Iterator[tuple[int, int, int, int, int, int]]:
     """``(text number, item id, distance, item words, start, end)`` of the best window of each item in each text."""
-    per_text = [words_of(t) for t in texts]
+    if not texts:
+        return
+    every, text, _, _ = word_hashes([(t or "").lower().encode() for t in texts], INSIDE)
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    per_text = [every[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
     chosen = [block.starts(w) if len(w) else np.zeros(0, np.int64) for w in per_text]
     live = [i for i, s in enumerate(chosen) if len(s)]
     if not live:
@@ -207,7 +213,7 @@ def _scan(items: list[tuple[int, np.ndarray]]):
             for row in rows_of(batches, "doc_id", "text"):
                 held.append(row)
                 size += len(row[1] or "")
-                if len(held) >= 512 or size >= 4 << 20:
+                if len(held) >= 512 or size >= 1 << 20:
                     yield from ((held[m[0]][0], *m[1:]) for m in matches([t for _, t in held], block))
                     held, size = [], 0
             yield from ((held[m[0]][0], *m[1:]) for m in matches([t for _, t in held], block))
