@@ -84,22 +84,33 @@ def sampled(outputs: np.ndarray, number: int, c: int) -> np.ndarray:
     return keys
 
 
-def best_end(item: np.ndarray, words: np.ndarray, start: int, k: int) -> tuple[int, int] | None:
-    """Smallest edit distance of the item to words from ``start`` on, up to any end, and that end; None if over ``k``."""
-    piece = words[start:start + len(item) + k]
-    column = np.arange(len(item) + 1)
-    best = (int(column[-1]), start)
-    steps = np.arange(len(item) + 1)
-    for j, w in enumerate(piece):
-        change = np.minimum(column[:-1] + (item != w), column[1:] + 1)
-        new = np.concatenate([[j + 1], change])
+def best_ends(items: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``items`` its smallest edit distance to words from its start on, up to any place before its end, and that place.
+
+    A distance over ``k`` comes back as ``k + 1``. An item within ``k`` edits has at least all but ``k`` of its words in its reach; rows
+    with fewer are told apart by that count alone.
+    """
+    n = items.shape[1]
+    at = starts[:, None] + np.arange(n + k)
+    inside = at < ends[:, None]
+    pieces = words[np.minimum(at, len(words) - 1)]
+    seen = np.zeros(items.shape, bool)
+    for j in range(n + k):
+        seen |= (items == pieces[:, j:j + 1]) & inside[:, j:j + 1]
+    live = np.flatnonzero(seen.sum(1) >= n - k)
+    distance, end = np.full(len(items), k + 1), starts.copy()
+    items, pieces, inside = items[live], pieces[live], inside[live]
+    steps = np.arange(n + 1)
+    column = np.tile(steps, (len(live), 1))
+    for j in range(n + k if len(live) else 0):
+        change = np.minimum(column[:, :-1] + (items != pieces[:, j:j + 1]), column[:, 1:] + 1)
+        new = np.concatenate([np.full((len(live), 1), j + 1), change], 1)
         # Deletions run along the item: the smallest of value - place so far.
-        column = np.minimum.accumulate(new - steps) + steps
-        if column.min() > k:
-            break
-        if column[-1] < best[0]:
-            best = (int(column[-1]), start + j + 1)
-    return best if best[0] <= k else None
+        column = np.minimum.accumulate(new - steps, 1) + steps
+        better = inside[:, j] & (column[:, -1] < distance[live])
+        distance[live[better]] = column[better, -1]
+        end[live[better]] = starts[live[better]] + j + 1
+    return distance, end
 
 
 class Items:
@@ -108,6 +119,7 @@ class Items:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
         sizes = [len(w) for _, w in items]
+        self.sizes = np.array(sizes)
         self.longest = max(sizes)
         self.reach = self.longest + allowed(self.longest)
         self.least = min(n - 2 - 3 * allowed(n) for n in sizes)
@@ -142,7 +154,9 @@ class Items:
         hit = self.bits[(found >> np.uint64(42)).astype(np.int64)]
         if np.count_nonzero(hit) < self.least:
             return np.zeros(0, np.int64)
-        hit = hit & np.isin(found, self.triples)
+        at = np.flatnonzero(hit)
+        place = np.minimum(np.searchsorted(self.triples, found[at]), len(self.triples) - 1)
+        hit[at] = self.triples[place] == found[at]
         total = np.concatenate([[0], np.cumsum(hit)])
         at = np.arange(len(words))
         n = len(hit)
@@ -163,6 +177,21 @@ class Items:
                 found.append(np.repeat(hits % len(starts), counts) * len(self.items) + items)
         return np.unique(np.concatenate(found))
 
+    def verified(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``(start number, item number, distance, end)`` of the pairs within an item's edits; pairs of equal item length go together."""
+        start, item = np.divmod(pairs, len(self.items))
+        sizes = self.sizes[item]
+        order = np.argsort(sizes, kind="stable")
+        lengths, firsts = np.unique(sizes[order], return_index=True)
+        for n, first, last in zip(lengths.tolist(), firsts, [*firsts[1:], len(order)], strict=False):
+            k, size = allowed(n), max(1, (1 << 18) // n)
+            for at in range(first, last, size):
+                some = order[at:min(at + size, last)]
+                rows = np.stack([self.items[i][1] for i in item[some]])
+                distance, end = best_ends(rows, words, starts[start[some]], ends[start[some]], k)
+                for m in np.flatnonzero(distance <= k):
+                    yield int(start[some[m]]), int(item[some[m]]), int(distance[m]), int(end[m])
+
 
 _schema = pa.schema([
     ("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("item_words", pa.int64()),
@@ -189,17 +218,11 @@ def matches(texts: list[str | None], block: Items) -> Iterator[tuple[int, int, i
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for at in range(0, len(starts), 8192):
         some = starts[at:at + 8192]
-        for pair in block.candidates(words, some, (bases + sizes)[owner[at:at + 8192]]).tolist():
-            s, i = divmod(pair, len(block.items))
+        limits = (bases + sizes)[owner[at:at + 8192]]
+        for s, i, distance, end in block.verified(words, some, limits, block.candidates(words, some, limits)):
             t = int(owner[at + s])
-            item = block.items[i][1]
-            begin = int(some[s] - bases[t])
-            if best.get((t, i), (1,))[0] == 0:
-                continue
-            found = best_end(item, per_text[live[t]], begin, allowed(len(item)))
-            if found:
-                value = (found[0], begin, found[1])
-                best[t, i] = min(best.get((t, i), value), value)
+            value = (distance, int(some[s] - bases[t]), int(end - bases[t]))
+            best[t, i] = min(best.get((t, i), value), value)
     for (t, i), (distance, begin, end) in sorted(best.items()):
         yield live[t], block.items[i][0], distance, len(block.items[i][1]), begin, end
 
