@@ -254,15 +254,25 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(bands: DataFrame, vertices: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links within buckets that still hold several components."""
+    """Links within buckets that still hold several components.
+
+    A bucket's largest component needs no comparison within itself: its blocks only meet those of the other members, so a bucket of
+    one large component and few others gives little more rows than it has members.
+    """
     named = bands.join(labels.withColumnRenamed("component", "_c"), "vertex", "left").withColumn("component", F.coalesce("_c", "vertex")).drop("_c")
-    several = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    members = written(named.join(several.select("band", blocks.alias("blocks")), "band"), "members")
+    sizes = named.groupBy("band", "component").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "component"))
+    several = sizes.groupBy("band").agg(F.sum("n").alias("all"), largest.alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    several = several.select(
+        "band", F.col("largest.component").alias("main"), F.ceil((F.col("all") - F.col("largest.n")) / TILE).cast("int").alias("blocks"),
+        F.ceil(F.col("largest.n") / TILE).cast("int").alias("main_blocks"))
+    members = written(named.join(several, "band"), "members")
     facts = texts_of(members.select("vertex"), vertices, docs).join(vertices.select("vertex", "values"), "vertex")
     tiles = (
-        members.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members.withColumn("in_main", F.col("component") == F.col("main"))
+        .withColumn("block", F.when(F.col("in_main"), F.col("blocks") + F.pmod(F.xxhash64("vertex"), F.col("main_blocks")))
+                    .otherwise(F.pmod(F.xxhash64("vertex"), F.col("blocks"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") + F.when(F.col("in_main"), 0).otherwise(F.col("main_blocks")) - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(facts, "vertex")
         .select("band", "i", "j", "block", "vertex", "component", "values", "text")
     )
