@@ -124,3 +124,9 @@ def segments(parts: Column) -> Column:
             F.substring_index(x, CLOSE, -1).alias("after"),
         ),
     )
+
+
+def is_json_object(c: Column) -> Column:
+    """Whether a text is one JSON object; null, other JSON values and broken text are not."""
+    kind = F.schema_of_variant(F.try_parse_json(c))
+    return F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))

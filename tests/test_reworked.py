@@ -3,6 +3,8 @@
 import numpy as np
 
 from talentweave.operators.matching import _top_k
+from talentweave.operators.restructure import parse_resume_json
+from talentweave.operators.routing import parse_or_error
 from talentweave.sources.readers import ingest_union, read_posting_csv
 from talentweave.sources.tables import write_matches
 
@@ -36,3 +38,10 @@ def test_top_k_of_long_cancelling_vectors():
     exact = queries @ docs.T
     for i in range(20):
         assert set(d[q == i]) == set(np.argsort(-exact[i], kind="stable")[:5])
+
+
+def test_values_that_are_no_objects_are_errors(spark):
+    texts = ["{}", '{"k": 1}', "5", "[1, 2]", '"x"', "null", "{broken", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "raw string")
+    for out in (parse_resume_json(rows, "raw"), parse_or_error(rows, "raw", "k int")):
+        assert [r["error"] is None for r in out.collect()] == [True, True] + [False] * 7
