@@ -233,7 +233,9 @@ def test_signatures_estimate_weighted_jaccard():
         assert near_copies.overlap(near_copies.multiset(base.encode()), near_copies.multiset(other.encode())) == pytest.approx(exact)
 
 
-def test_classes_equal_brute_force(spark, docs, none):
+@pytest.mark.parametrize("tile", [512, 2])
+def test_classes_equal_brute_force(spark, docs, none, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "TILE", tile)
     r = random.Random(8)
     rows = []
     for g in range(12):
