@@ -1,9 +1,10 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A document is the set of its words, word pairs and pairs with one word between them, each hashed to one of 2^20
-coordinates. Every coordinate has its own learning rate; the L1 term keeps most weights at zero, so what tasks get is a short list
-of weights, at most one a coordinate. Training reads a bounded sample of labelled rows: in each of a few rounds a fixed number
-of tasks run FTRL over their part from the same state, and their steps are averaged. Scores read every whole text.
+coordinates. Every coordinate has its own learning rate; the L1 term alone keeps most weights at zero, so what tasks get is a short
+list of weights, at most one a coordinate. Training reads a bounded sample of labelled rows, with all of their coordinates: in each of
+a few rounds a fixed number of tasks run FTRL over their part from the same state, and their steps are averaged. Scores read every
+whole text.
 
 Words are runs of letters (any byte of a character outside ASCII counts as one), in lower case. Null and empty texts score by
 the bias alone. Rows without a label, or with a null id, are scored but not learnt from; rows that share an id share its largest
@@ -13,20 +14,23 @@ label. Without any usable label all scores are 0.5. Repeated rows score alike; a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm.common import batched, rows_of, table, written
+from talentweave.llm.common import batched, rows_of, table
+from talentweave.session import fresh_path
 
 BITS = 20
 #: Labelled rows to learn from, as an expected number, and tasks that learn.
-TRAIN_ROWS, TRAIN_TASKS, ROUNDS, EPOCHS = 8_000, 4, 3, 2
-#: Coordinates that fewer sampled rows, or a smaller share of them, have are left out, so that rare pairs don't take a word's weight.
-LEAST_ROWS, LEAST_SHARE = 10, 0.0025
+TRAIN_ROWS, TRAIN_TASKS, ROUNDS, EPOCHS = 16_000, 4, 3, 2
+#: Tasks that hash the sample, each writing a file for every task that learns.
+SAMPLE_TASKS = 16
 #: Toxic rows are rare; their gradients count as many times as clean rows outnumber them, up to this.
 MOST_WEIGHT = 8.0
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
@@ -98,21 +102,35 @@ def ftrl(
 
 
 _set_schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("label", pa.int32()), ("found", pa.list_(pa.int32()))])
+_step_schema = pa.schema([("at", pa.int32()), ("z", pa.float64()), ("n", pa.float64())])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _learner(z: np.ndarray, n: np.ndarray, weight: float, r: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _learner(z: np.ndarray, n: np.ndarray, weight: float, r: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One task's part of a round; gives its steps away from the common state."""
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("doc_id", kind="stable")
-        sets = [np.asarray(x, np.int64) for x in part["found"]]
-        zs, ns = z.copy(), n.copy()
-        ftrl(sets, part["label"].to_numpy(float), zs, ns, weight, seed=r)
+    z, n = z.astype(np.float32), n.astype(np.float32)  # as sent to the tasks
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, ids, labels, parts = [], [], [], set()
+        for batch in batches:
+            found, ends = batch.column("found"), np.cumsum(pc.list_value_length(batch.column("found")).to_numpy(zero_copy_only=False))
+            sets += np.split(found.flatten().to_numpy().astype(np.int64), ends[:-1])
+            parts.update(pc.unique(batch.column("part")).to_pylist())
+            ids.append(batch.column("doc_id").to_numpy())
+            labels.append(batch.column("label").to_numpy())
+        if not sets:
+            return
+        if len(parts) > 1:
+            raise ValueError(f"parts {parts} in one task")
+        order = np.argsort(np.concatenate(ids), kind="stable")
+        zs, ns = z.astype(np.float64), n.astype(np.float64)
+        ftrl([sets[i] for i in order], np.concatenate(labels)[order].astype(float), zs, ns, weight, seed=r)
         moved = np.flatnonzero(ns != n)
-        return pd.DataFrame({"at": moved, "z": (zs - z)[moved], "n": (ns - n)[moved]})
+        for at in np.array_split(moved, len(moved) // 65_536 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(zs[at] - z[at]), pa.array(ns[at] - n[at])], schema=_step_schema)
 
     return learn
 
@@ -127,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> pd.Seri
     sample = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id").select("doc_id", part, "label", "text")  # ``rows`` ids or so
+        .repartition(SAMPLE_TASKS, "doc_id")
     )
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,30 +160,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> pd.Seri
 
         yield from batched(rows(), _set_schema, 512)
 
-    sample = written(sample.mapInArrow(sets_of, "doc_id long, part int, label int, found array<int>"), "toxicity")
+    # The only copy of the sample. Rounds shuffle nothing: each learning task reads its folder.
+    ddl, path = "doc_id long, part int, label int, found array<int>", fresh_path(docs.sparkSession, "toxicity")
+    sample.mapInArrow(sets_of, ddl).write.mode("errorifexists").partitionBy("part").parquet(path)
+    sample = docs.sparkSession.read.schema(ddl).parquet(path)
     sizes = dict(sample.groupBy("label").count().collect())
-    least = max(LEAST_ROWS, LEAST_SHARE * sum(sizes.values()))
-    seen = sample.select(F.explode("found").alias("c")).groupBy("c").count().where(F.col("count") >= least)
-    kept = np.sort(seen.toPandas()["c"].to_numpy(np.int64))  # at most one row a coordinate
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((d, p, y, np.searchsorted(kept, np.intersect1d(x, kept, assume_unique=True))) for d, p, y, x in rows_of(batches, "doc_id", "part", "label", "found"))
-        yield from batched(found, _set_schema, 512)
-
-    sample = written(sample.mapInArrow(narrow, "doc_id long, part int, label int, found array<int>"), "toxicity")
     if len(sizes) < 2:
         return pd.Series([], index=np.zeros(0, np.int64), dtype=float)
     weight = min(MOST_WEIGHT, max(1.0, sizes.get(0, 0) / sizes[1]))
-    z, n = np.zeros(len(kept)), np.zeros(len(kept))
+    # A union of frames of one partition each has one partition too, unless one frame has an unknown number: here the empty one.
+    parts = reduce(DataFrame.union, [sample.where(F.col("part") == p).coalesce(1) for p in range(TRAIN_TASKS)], sample.where("part < 0"))
+    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for r in range(ROUNDS):
-        steps = sample.groupBy("part").applyInPandas(_learner(z, n, weight, r), "at long, z double, n double")
-        mean = steps.groupBy("at").agg((F.sum("z") / TRAIN_TASKS).alias("z"), (F.sum("n") / TRAIN_TASKS).alias("n")).toPandas()
-        at = mean["at"].to_numpy(np.int64)
-        z, n = z.copy(), n.copy()
-        z[at] += mean["z"].to_numpy(float)
-        n[at] += mean["n"].to_numpy(float)
+        steps = parts.mapInArrow(_learner(z, n, weight, r), "at int, z double, n double").toArrow()  # a row a task and coordinate at most
+        at = steps["at"].to_numpy()
+        z = z + np.bincount(at, steps["z"].to_numpy(), 1 << BITS) / TRAIN_TASKS
+        n = n + np.bincount(at, steps["n"].to_numpy(), 1 << BITS) / TRAIN_TASKS
     w = weights_of(z, n)
-    return pd.Series(w[w != 0], index=kept[w != 0])
+    return pd.Series(w[w != 0], index=np.flatnonzero(w))
 
 
 def score(docs: DataFrame, weights: pd.Series) -> DataFrame:

@@ -92,6 +92,16 @@ def test_toxicity_learns_and_scores_every_row(spark, docs, none):
     assert {x["score"] for x in toxicity.score(docs, untrained).collect()} == {0.5}
 
 
+def test_toxicity_learns_wording_of_few_rows(spark):
+    marked = {i: " bocoos bomenterr" for i in range(0, 640, 80)}
+    rows = [(1000 + i, prose(40, i) + marked.get(i, ""), int(i in marked)) for i in range(640)]
+    table = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    weights = toxicity.train(table, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, label int"))
+    late = spark.createDataFrame([(i, prose(40, 5000 + i) + " bocoos bomenterr" * (i % 2)) for i in range(40)], "doc_id long, text string")
+    scored = {x["doc_id"]: x["score"] for x in toxicity.score(late, weights).collect()}
+    assert min(s for d, s in scored.items() if d % 2) > max(s for d, s in scored.items() if not d % 2)
+
+
 def test_packing_keeps_every_id_once(spark, docs, none):
     encoder = tokens.Encoder(tokens.tokenizer_path())
     found = packing.pack(docs, tokens.tokenizer_path()).collect()
