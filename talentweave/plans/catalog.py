@@ -966,6 +966,20 @@ def funnel_jobs_ranked(v: Views) -> DataFrame:
     return _scored(funnel.funnel_jobs_ranked(corpus(v), with_title_text=False).select("cv_num", "job_num", "score", "place"))
 
 
+#: The funnels by the full score. The SQL of the four above has no title text, and none of these has SQL.
+FULL_SCORE: dict[str, Callable[[Views], DataFrame]] = {}
+
+
+def _full_score_query(name: str, run: Callable[[funnel.Corpus], DataFrame], *columns: str) -> None:
+    FULL_SCORE[f"{name}_with_title_text"] = lambda v: _scored(run(corpus(v)).select(*columns, "score"))
+
+
+_full_score_query("funnel_best_cv", funnel.funnel_best_cv, "job_num", "cv_num")
+_full_score_query("funnel_best_job", funnel.funnel_best_job, "cv_num", "job_num")
+_full_score_query("funnel_cvs_ranked", funnel.funnel_cvs_ranked, "job_num", "cv_num", "place")
+_full_score_query("funnel_jobs_ranked", funnel.funnel_jobs_ranked, "cv_num", "job_num", "place")
+
+
 # --- analytics
 
 

@@ -9,7 +9,9 @@ import pytest
 
 import __spark_entry__ as spark_entry
 from check_queries import TABLES, compare
-from talentweave.plans.catalog import QUERIES
+from talentweave.operators.scoring import partial_ratio
+from talentweave.plans import funnel
+from talentweave.plans.catalog import QUERIES, corpus
 from talentweave.plans.oracles import ORACLES
 from talentweave.plans.views import Views
 
@@ -69,6 +71,28 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(l_quantity,40.0)" in line and "l_tax" not in line
 
 
+@pytest.mark.parametrize("query, resume_is_query", [("job_num", False), ("cv_num", True)])
+def test_funnels_rank_by_the_full_score(spark, query, resume_is_query):
+    c, match = corpus(Views(spark, FOLDER)), "cv_num" if query == "job_num" else "job_num"
+    pairs = funnel.score_pairs(funnel.candidates(c, resume_is_query), c, resume_is_query, with_title_text=False).toPandas()
+    mine = c.cv_title.toPandas().groupby("num")["title"].agg(list).to_dict()
+    theirs = c.job_title.toPandas().set_index("num")["title"].to_dict()
+    best = [max([partial_ratio(t, theirs[j]) for t in mine.get(n, [])], default=0) for n, j in zip(pairs["cv_num"], pairs["job_num"], strict=True)]
+    assert any(0 < b < 100 for b in best)
+    pairs["score"] += 0.1 * pd.Series(best) / 100
+    pairs = pairs.sort_values([query, "score", "rank"], ascending=[True, False, True])
+    pairs["place"] = pairs.groupby(query).cumcount() + 1
+    want = {(r[query], r["place"]): r["score"] for r in pairs.to_dict("records")}
+    queries, many, one = spark_entry.queries(), *(("cvs", "cv") if query == "job_num" else ("jobs", "job"))
+    ranked = queries[f"funnel_{many}_ranked_with_title_text"](spark, FOLDER).toPandas()
+    assert {(q, p): s for q, p, s in zip(ranked[query], ranked["place"], ranked["score"], strict=True)} == pytest.approx(want, abs=2e-6)
+    top = queries[f"funnel_best_{one}_with_title_text"](spark, FOLDER).toPandas()
+    assert {q: s for q, s, m in zip(top[query], top["score"], top[match], strict=True) if m == m} == pytest.approx({q: s for (q, p), s in want.items() if p == 1}, abs=2e-6)
+    if query == "job_num":
+        entry = spark_entry.entry(spark).toPandas()
+        assert sorted(entry["score"]) == pytest.approx(sorted(pairs["score"]), abs=2e-6)
+
+
 def test_result_does_not_depend_on_partitions(spark):
     v = Views(spark, FOLDER)
     before = spark.conf.get("spark.sql.shuffle.partitions")
