@@ -1059,16 +1059,10 @@ def _landed_intake(v: Views) -> str:
 
 
 def parse_intake(batch: DataFrame) -> DataFrame:
-    """Postings and JSON résumés in their schemas with feature text; failures keep id and error."""
-    from talentweave.schemas import POSTING_CSV
-
-    routed = Q.route_parser(batch)
-    jobs = Q.parse_or_error(routed.where("route = 'posting'"), "raw_data", POSTING_CSV).select("id", "source", "error", "record.*")
-    jobs = R.render_posting_text(J.schematize_posting(jobs)).select("id", "source", "error", "title", "company", "skills", "text")
-    resumes = J.resume_json_to_schema(routed.where("route = 'json'").select("id", "source", "raw_data"))
-    resumes = R.render_resume_text(resumes)
-    both = resumes.unionByName(jobs, allowMissingColumns=True)
-    return both.withColumn("kind", F.left("id", F.lit(1)))
+    """Envelopes of every route in their schemas with feature text; failures and unknown routes keep id and error."""
+    from talentweave.plans.onboarding import parse
+
+    return parse(batch)
 
 
 @query

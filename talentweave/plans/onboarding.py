@@ -56,7 +56,9 @@ def parse(envelopes: DataFrame) -> DataFrame:
     """Envelopes of all routes in one table with feature text; failed records have an ``error``."""
     rows = Q.parse_by_route(envelopes, PARSERS).withColumn("kind", F.left("id", F.lit(1)))
     postings = R.render_posting_text(rows.where("kind = 'B'"))
-    return R.render_resume_text(rows.where("kind = 'A'")).unionByName(postings)
+    others = rows.where("coalesce(kind, '') not in ('A', 'B')").withColumn("error", F.coalesce("error", F.lit("No kind in the id")))
+    parsed = R.render_resume_text(rows.where("kind = 'A'")).unionByName(postings)
+    return parsed.unionByName(others, allowMissingColumns=True)
 
 
 def _append_new(df: DataFrame, path: str, *partition: str) -> None:

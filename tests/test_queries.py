@@ -11,9 +11,11 @@ import __spark_entry__ as spark_entry
 from check_queries import TABLES, compare
 from talentweave.operators.scoring import partial_ratio
 from talentweave.plans import funnel
-from talentweave.plans.catalog import QUERIES, corpus
+from talentweave.plans.catalog import QUERIES, corpus, parse_intake
 from talentweave.plans.oracles import ORACLES
 from talentweave.plans.views import Views
+from talentweave.schemas import ENVELOPE
+from talentweave.streaming import intake as SP
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test data")
@@ -93,6 +95,26 @@ def test_funnels_rank_by_the_full_score(spark, query, resume_is_query):
         assert sorted(entry["score"]) == pytest.approx(sorted(pairs["score"]), abs=2e-6)
 
 
+def test_intake_keeps_envelopes_of_every_route(spark, tmp_path):
+    page = "Name: Ann Lee\nEXPERIENCE\nCook | Inn Ltd\n2001 - 2003\nSKILLS\nbaking, plating\n"
+    flat = "COOK       Summary    Hands-on.    Experience    Inn Ltd  Cook  2001 - 2003    Skills    baking, plating"
+    posting = '{"job_title_short": "Cook", "company_name": "Inn", "job_location": "Rome", "job_country": "Italy", "job_skills": "[]", "job_type_skills": null}'
+    rows = [
+        ("B1", posting, "jobs_dataset", "json", "job"), ("B2", "no json", "jobs_dataset", "json", "job"), ("A1", page, "new_texts", "txt", "cv"),
+        ("A2", flat, "string_dataset", "csv", "cv"), ("A3", '{"personal_info": {"name": "Ann"}}', "json_dataset", "jsonl", "cv"),
+        ("A4", "no json", "json_dataset", "jsonl", "cv"), ("A5", "JVBERi0=", "linkedin_pdf", "pdf", "cv"), ("A6", "x", "elsewhere", "xml", "cv"),
+        ("X7", page, "new_texts", "txt", "cv"), (None, page, "new_texts", "txt", "cv"), ("A8", None, "new_texts", "txt", "cv"),
+    ]
+    SP.fanout_sinks(parse_intake, str(tmp_path))(spark.createDataFrame(rows, ENVELOPE), 0)
+    found = {name: [r.id for r in spark.read.parquet(f"{tmp_path}/{name}").collect()] for name in ("text_cv", "schema_cv", "info_cv", "text_job", "schema_job", "quarantine")}
+    assert sorted(found["text_cv"]) == sorted(found["schema_cv"]) == sorted(found["info_cv"]) == ["A1", "A2", "A3", "A8"]
+    assert found["text_job"] == found["schema_job"] == ["B1"]
+    assert set(found["quarantine"]) == {"A4", "A5", "A6", "B2", "X7", None}
+    assert len(rows) == len(found["text_cv"]) + len(found["text_job"]) + len(found["quarantine"])
+    skills = {r.id: r.skills for r in spark.read.parquet(f"{tmp_path}/schema_cv").collect()}
+    assert all("baking" in skills[i] for i in ("A1", "A2"))
+
+
 def test_result_does_not_depend_on_partitions(spark):
     v = Views(spark, FOLDER)
     before = spark.conf.get("spark.sql.shuffle.partitions")
