@@ -123,8 +123,11 @@ def is_job(item: Column) -> Column:
     return ~F.contains(F.left(F.lower(item["description"]), F.lit(100)), F.lit("education"))
 
 
-def education_item(before: Column, period: Column) -> Column:
-    """Degree and institution from the last four lines before a date; ``degree`` is null when none is found."""
+def education_item(before: Column, period: Column, said_degree: Column | None = None, said_school: Column | None = None) -> Column:
+    """Degree and institution from the last four lines before a date, else what mentions say; ``degree`` is null when none is found."""
+    def settled(own: Column, said: Column | None) -> Column:
+        return own if said is None else F.coalesce(T.non_empty(own), said, own)
+
     def line_facts(x: Column, i: Column) -> Column:
         low = F.lower(x)
         return F.struct(
@@ -148,7 +151,8 @@ def education_item(before: Column, period: Column) -> Column:
         return T.let(_first(F.filter(near, lambda x: x["is_degree"])), lambda row: T.let(
             halves(row),
             lambda pair: settle_education(
-                period, F.get(pair, F.lit(0)), F.coalesce(F.get(pair, F.lit(1)), _first(own(row))["line"]), fallback
+                period, settled(F.get(pair, F.lit(0)), said_degree),
+                settled(F.coalesce(F.get(pair, F.lit(1)), _first(own(row))["line"]), said_school), fallback
             ),
         ))
 

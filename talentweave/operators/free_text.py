@@ -6,6 +6,9 @@ mentions near a date is a join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from talentweave.operators.dates import located
 from talentweave.operators.lines import sections_of_text
 
 NEAR_MENTION = 250
+#: Kinds of mentions by the section whose text they are spans of.
+CONTACT_KINDS, DEGREE_KINDS, SCHOOL_KINDS = ["EMAIL", "PROFILE", "PERSON"], K.DEGREE_KINDS, ["UNIVERSITY", "COLLEGE", "SCHOOL_NAME"]
+SECTION_KINDS = {"Header": CONTACT_KINDS, "Education": DEGREE_KINDS + SCHOOL_KINDS, "Skills": K.SKILL_KINDS}
 
 
 def section_of(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -71,10 +77,67 @@ def link_title_company_text(docs: DataFrame, mentions: DataFrame, text: str = "t
     return joined.select("doc_id", "pos", settle("title", "near_title"), settle("company", "near_company"), "period")
 
 
-def extract_education_text(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_mentions(docs: DataFrame, mentions: DataFrame | None) -> DataFrame:
+    """Add ``_said``: the mentions of a document by place, as spans of the section that has their kind (``SECTION_KINDS``)."""
+    if mentions is None:
+        return docs
+    wanted = mentions.where(F.col("kind").isin(sum(SECTION_KINDS.values(), [])))
+    said = F.array_sort(F.collect_list(F.struct("start", "value", "kind"))).alias("_said")
+    return docs.join(wanted.groupBy("doc_id").agg(said), "doc_id", "left").withColumn(
+        "_said", F.coalesce("_said", F.array().cast("array<struct<start: int, value: string, kind: string>>")))
+
+
+def _said(kinds: list[str], among: Column | None = None) -> Column:
+    return F.filter(F.col("_said") if among is None else among, lambda m: m["kind"].isin(kinds))
+
+
+def _said_first(kinds: list[str], otherwise: Column) -> Column:
+    return F.coalesce(F.get(_said(kinds), F.lit(0))["value"], otherwise)
+
+
+def schools_of(parts: Column, mentions: bool) -> Column:
+    """Education items of the dates of a section, in order; degree and place also from mentions around the date."""
+    segments = T.segments(parts)
+    if not mentions:
+        return F.transform(segments, lambda s: FT.education_item(s["before"], s["match"]))
+    # Where the date of each segment starts.
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(segments, start, lambda acc, s: F.struct(
+        (acc["end"] + F.length(s["before"]) + F.length(s["match"])).alias("end"),
+        F.array_append(acc["starts"], acc["end"] + F.length(s["before"])).alias("starts"),
+    ))["starts"]
+
+    def item(s: Column, at: Column) -> Column:
+        near = F.filter("_said", lambda m: m["start"].between(at - F.least(F.length(s["before"]), F.lit(300)), at + 50))
+        first = lambda kinds: F.get(_said(kinds, near), F.lit(0))["value"]
+        return FT.education_item(s["before"], s["match"], first(DEGREE_KINDS), first(SCHOOL_KINDS))
+
+    return F.zip_with(segments, starts, item)
+
+
+def section_mentions(docs: DataFrame, find: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+    """Mentions that ``find`` gives for each section's ``(doc_id, text)``, of the kinds that belong to the section."""
+    found = sections_of_text(docs, text)
+    contents = {name: FT.section_content(F.col("sections"), name) for name in SECTION_KINDS} | {"Skills": skills_text(F.col("sections"))}
+    parts = [
+        find(found.select("doc_id", contents[name].alias("text"))).where(F.col("kind").isin(kinds)).select("doc_id", "start", "kind", "value")
+        for name, kinds in SECTION_KINDS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def known_skills() -> Column:
+    return F.filter(F.transform(_said(K.SKILL_KINDS), lambda m: F.lower(T.clean_field(m["value"]))), lambda x: x != "")
+
+
+def extract_education_text(docs: DataFrame, text: str = "text", mentions: DataFrame | None = None) -> DataFrame:
     """``(doc_id, pos, period, institution, degree, details)`` of the education section."""
-    item = FT.education_item(F.col("before"), F.col("match"))
-    rows = _segments(section_of(docs, text, "Education")).select("doc_id", "pos", item.alias("e"))
+    if mentions is None:
+        item = FT.education_item(F.col("before"), F.col("match"))
+        rows = _segments(section_of(docs, text, "Education")).select("doc_id", "pos", item.alias("e"))
+    else:
+        parts = section_of(docs, text, "Education").select("doc_id", FT.marked_parts(F.col("section")).alias("parts"))
+        rows = with_mentions(parts, mentions).select("doc_id", F.posexplode(schools_of(F.col("parts"), True)).alias("pos", "e"))
     return rows.where(F.col("e.degree").isNotNull()).select("doc_id", "pos", "e.*")
 
 
@@ -91,10 +154,11 @@ def dated_certificates(parts: Column) -> Column:
     return F.filter(items, lambda c: c["degree"].isNotNull())
 
 
-def tokenize_skills_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, pos, skill)`` from the skills and languages sections."""
+def tokenize_skills_text(docs: DataFrame, text: str = "text", mentions: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, pos, skill)`` from the skills and languages sections, mentioned skills first."""
     found = sections_of_text(docs, text).select("doc_id", skills_text(F.col("sections")).alias("section"))
-    return found.select("doc_id", F.posexplode(FT.skills(F.col("section"))).alias("pos", "skill"))
+    known = None if mentions is None else known_skills()
+    return with_mentions(found, mentions).select("doc_id", F.posexplode(FT.skills(F.col("section"), known)).alias("pos", "skill"))
 
 
 def skills_text(sections: Column) -> Column:
@@ -103,9 +167,12 @@ def skills_text(sections: Column) -> Column:
     return F.when(languages != "", F.concat_ws("\n", listed, languages)).otherwise(listed)
 
 
-def extract_contacts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """First e-mail address and LinkedIn link of a text, empty when there is none."""
-    return docs.select("doc_id", FT.email_of(F.col(text)).alias("email"), FT.linkedin_of(F.col(text)).alias("linkedin"))
+def extract_contacts(docs: DataFrame, text: str = "text", mentions: DataFrame | None = None) -> DataFrame:
+    """First e-mail address and LinkedIn link of a text, empty when there is none; mentions go before both."""
+    email, linkedin = FT.email_of(F.col(text)), FT.linkedin_of(F.col(text))
+    if mentions is not None:
+        email, linkedin = _said_first(["EMAIL"], email), _said_first(["PROFILE"], linkedin)
+    return with_mentions(docs, mentions).select("doc_id", email.alias("email"), linkedin.alias("linkedin"))
 
 
 def _header(docs: DataFrame, text: str) -> DataFrame:
@@ -146,16 +213,18 @@ def professional_title_text(docs: DataFrame, text: str = "text", mentions: DataF
     return found.select("doc_id", T.clean_field(title).alias("title"))
 
 
-def parse_resume_text(docs: DataFrame, text: str = "text") -> DataFrame:
+def parse_resume_text(docs: DataFrame, text: str = "text", mentions: DataFrame | None = None) -> DataFrame:
     """Free-form documents in the common résumé schema; empty texts give the default record.
 
-    One projection over the row of a document: nothing is shuffled, whatever the skew of the input.
+    One projection over the row of a document: nothing is shuffled, whatever the skew of the input. With ``mentions``
+    one join by document comes before.
     """
     empty = F.coalesce(T.strip(F.col(text)), F.lit("")).isin("", "nan")
     sections = sections_of_text(docs, text)
     rest = [c for c in docs.columns if c != text]
+    sections, said = with_mentions(sections, mentions), [] if mentions is None else ["_said"]
     parts = sections.select(
-        *rest, "sections", empty.alias("_empty"),
+        *rest, *said, "sections", empty.alias("_empty"),
         FT.section_content(F.col("sections"), "Header").alias("_header"),
         FT.marked_parts(FT.section_content(F.col("sections"), "Experience")).alias("_jobs"),
         FT.marked_parts(FT.section_content(F.col("sections"), "Education")).alias("_schools"),
@@ -164,12 +233,11 @@ def parse_resume_text(docs: DataFrame, text: str = "text") -> DataFrame:
         skills_text(F.col("sections")).alias("_skills"),
     )
     jobs = F.filter(F.transform(T.segments(F.col("_jobs")), lambda s: FT.job_item(s["before"], s["match"], s["after"])), FT.is_job)
-    schools = F.filter(F.transform(T.segments(F.col("_schools")), lambda s: FT.education_item(s["before"], s["match"])),
-                       lambda e: e["degree"].isNotNull())
+    schools = F.filter(schools_of(F.col("_schools"), bool(said)), lambda e: e["degree"].isNotNull())
     certs = F.when(F.size("_cert_parts") > 1, dated_certificates(F.col("_cert_parts"))).otherwise(FT.undated_certificates(F.col("_certs")))
     items = parts.select(
-        *rest, "_empty", "_header", jobs.alias("_jobs"), F.concat(schools, certs).alias("education"),
-        FT.skills(F.col("_skills")).alias("skills"), FT.title_line(F.col("_header")).alias("_line"),
+        *rest, *said, "_empty", "_header", jobs.alias("_jobs"), F.concat(schools, certs).alias("education"),
+        FT.skills(F.col("_skills"), known_skills() if said else None).alias("skills"), FT.title_line(F.col("_header")).alias("_line"),
     )
     first_title = F.get("_jobs", F.lit(0))["title"]
     title = T.clean_field(F.coalesce(F.col("_line"), T.non_empty(first_title), F.lit(K.DEFAULT_TITLE)))
@@ -183,11 +251,17 @@ def parse_resume_text(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     unknown = lambda c: F.when(F.col("_empty"), F.lit("Unknown")).otherwise(c)
+    name, email, linkedin = (f(F.col("_header")) for f in (FT.name_of, FT.email_of, FT.linkedin_of))
+    if said:
+        people = F.filter(_said(["PERSON"]), lambda m: ~F.lower(m["value"]).isin(K.HEADER_EXCLUDED_NAME))
+        first = F.array_min(F.transform(people, lambda m: F.struct(m["start"], -F.size(T.words_of(m["value"])), m["value"].alias("value"))))
+        name = F.coalesce(T.clean_field(first["value"]), name)
+        email, linkedin = _said_first(["EMAIL"], email), _said_first(["PROFILE"], linkedin)
     return titled.select(
         *rest,
-        unknown(FT.name_of(F.col("_header"))).alias("name"),
-        unknown(FT.email_of(F.col("_header"))).alias("email"),
-        unknown(FT.linkedin_of(F.col("_header"))).alias("linkedin"),
+        unknown(name).alias("name"),
+        unknown(email).alias("email"),
+        unknown(linkedin).alias("linkedin"),
         unknown(F.col("title")).alias("title"),
         F.when(F.col("_empty"), F.lit("")).otherwise(
             F.coalesce(T.non_empty(FT.header_location(F.col("_header"))), F.lit("Any"))).alias("location"),

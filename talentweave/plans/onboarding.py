@@ -5,6 +5,8 @@ Tables below one folder: ``envelopes``, ``schema``, ``text``, ``info``, ``quaran
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +19,15 @@ from talentweave.operators import render as R
 from talentweave.operators import restructure as J
 from talentweave.operators import routing as Q
 from talentweave.operators.dataset_text import parse_resume_dataset
-from talentweave.operators.free_text import parse_resume_text
+from talentweave.operators.free_text import parse_resume_text, section_mentions
 from talentweave.schemas import POSTING_CSV
 from talentweave.session import fresh_path
 from talentweave.sources.readers import ingest_union
 
 
+FindMentions = Callable[[DataFrame], DataFrame]
+
+
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -41,8 +46,10 @@ def _parse_json(df: DataFrame) -> DataFrame:
     return J.resume_json_to_schema(df.select("id", "source", "raw_data"))
 
 
-def _parse_free_text(df: DataFrame) -> DataFrame:
-    return parse_resume_text(df.select(F.col("id").alias("doc_id"), "source", F.col("raw_data").alias("text"))).withColumnRenamed("doc_id", "id")
+def _parse_free_text(df: DataFrame, find_mentions: FindMentions | None = None) -> DataFrame:
+    docs = df.select(F.col("id").alias("doc_id"), "source", F.col("raw_data").alias("text"))
+    mentions = None if find_mentions is None else section_mentions(docs, find_mentions)
+    return parse_resume_text(docs, mentions=mentions).withColumnRenamed("doc_id", "id")
 
 
 def _parse_dataset(df: DataFrame) -> DataFrame:
@@ -52,9 +59,10 @@ def _parse_dataset(df: DataFrame) -> DataFrame:
 PARSERS = {"posting": _parse_postings, "json": _parse_json, "text": _parse_free_text, "dataset": _parse_dataset}
 
 
-def parse(envelopes: DataFrame) -> DataFrame:
+def parse(envelopes: DataFrame, find_mentions: FindMentions | None = None) -> DataFrame:
     """Envelopes of all routes in one table with feature text; failed records have an ``error``."""
-    rows = Q.parse_by_route(envelopes, PARSERS).withColumn("kind", F.left("id", F.lit(1)))
+    parsers = PARSERS | {"text": lambda df: _parse_free_text(df, find_mentions)}
+    rows = Q.parse_by_route(envelopes, parsers).withColumn("kind", F.left("id", F.lit(1)))
     postings = R.render_posting_text(rows.where("kind = 'B'"))
     others = rows.where("coalesce(kind, '') not in ('A', 'B')").withColumn("error", F.coalesce("error", F.lit("No kind in the id")))
     parsed = R.render_resume_text(rows.where("kind = 'A'")).unionByName(postings)
@@ -68,8 +76,11 @@ def _append_new(df: DataFrame, path: str, *partition: str) -> None:
     new.write.mode("append").partitionBy(*partition).parquet(path)
 
 
-def onboard(spark: SparkSession, descriptors: list[dict], folder: str) -> None:
-    """Read, number, de-duplicate against what is there, parse and append; a repeated file adds nothing."""
+def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_mentions: FindMentions | None = None) -> None:
+    """Read, number, de-duplicate against what is there, parse and append; a repeated file adds nothing.
+
+    ``find_mentions`` gives mentions ``(doc_id, start, kind, value)`` of the sections ``(doc_id, text)`` of free-form résumés.
+    """
     landed = fresh_path(spark, "landed")
     good, bad = Q.split_errors(ingest_union(spark, descriptors))
     # Written first: the position of a record is part of the files and must not change between the steps.
@@ -85,7 +96,7 @@ def onboard(spark: SparkSession, descriptors: list[dict], folder: str) -> None:
     envelopes = spark.read.parquet(numbered)
 
     parsed_path = fresh_path(spark, "parsed")
-    parse(envelopes).write.parquet(parsed_path)
+    parse(envelopes, find_mentions).write.parquet(parsed_path)
     done, failed = Q.split_errors(spark.read.parquet(parsed_path))
     failed.select("id", "source", "error").write.mode("append").parquet(f"{folder}/quarantine")
     common = ["title", "company", "location", "skills", "experience", "education", "total_experience"]

@@ -12,6 +12,7 @@ from talentweave.operators import identity as I
 from talentweave.operators import lines as L
 from talentweave.operators import mentions as N
 from talentweave.operators import profile as P
+from talentweave.plans import onboarding
 
 CV = """Curriculum Vitae
 Anna Verdi
@@ -105,6 +106,39 @@ def test_skills_of_free_text(texts):
     assert found == ["fluent in german", "python", "c", "nodejs", "sql", "dotnet"]
 
 
+def test_free_text_takes_what_only_mentions_give(spark, texts):
+    docs = texts("Ann Lee\nEDUCATION\nGraduated\n1999\nStudies of ships\nBocconi, Milan\n2004\nSKILLS\nbaking\n", "Bob\nSKILLS\nplating\n")
+    section = XT.section_of(docs, "text", "Education").where("doc_id = 0").first().section
+    rows = [
+        (0, 0, "EMAIL", "ann at lee"), (0, 3, "PROFILE", "in/ann"), (0, 0, "TOOL", "Sharp Knives"),
+        (0, section.index("Studies"), "DEGREE", "Studies of ships"), (0, section.index("Bocconi"), "UNIVERSITY", "Bocconi"),
+    ]
+    mentions = spark.createDataFrame(rows, "doc_id bigint, start int, kind string, value string")
+    skills = [(r.doc_id, r.skill) for r in XT.tokenize_skills_text(docs, mentions=mentions).orderBy("doc_id", "pos").collect()]
+    assert skills == [(0, "sharp knives"), (0, "baking"), (1, "plating")]
+    contacts = {r.doc_id: (r.email, r.linkedin) for r in XT.extract_contacts(docs, mentions=mentions).collect()}
+    assert contacts == {0: ("ann at lee", "in/ann"), 1: ("", "")}
+    schools = [(r.period, r.degree, r.institution) for r in XT.extract_education_text(docs, mentions=mentions).collect()]
+    assert schools[-1] == ("2004", "Studies of ships", "Bocconi")
+    whole = {r.doc_id: r for r in XT.parse_resume_text(docs, mentions=mentions).collect()}
+    assert (whole[0].email, whole[0].linkedin, whole[0].skills) == ("ann at lee", "in/ann", ["sharp knives", "baking"])
+    assert whole[0].education[-1].institution == "Bocconi" and whole[1].skills == ["plating"]
+
+
+def test_onboarding_asks_for_mentions_of_each_section(spark):
+    text = "Ann Lee\nEDUCATION\nStudies of ships\nBocconi, Milan\n2004\nSKILLS\nbaking\n"
+    envelopes = spark.createDataFrame([("A1", text, "new_texts", "txt", "cv")], "id string, raw_data string, source string, type string, category string")
+    at = lambda word, kind: F.struct(F.locate(word, F.col("text")).alias("at"), F.lit(kind).alias("kind"), F.lit(word).alias("value"))
+
+    def find(docs):
+        found = docs.select("doc_id", F.explode(F.array(at("Ann Lee", "PERSON"), at("Bocconi", "UNIVERSITY"), at("baking", "TOOL"))).alias("m"))
+        return found.where("m.at > 0").select("doc_id", (F.col("m.at") - 1).alias("start"), "m.kind", "m.value")
+
+    plain, row = onboarding.parse(envelopes).first(), onboarding.parse(envelopes, find).first()
+    assert plain.education[0].institution == "" and row.education[0].institution == "Bocconi"
+    assert (row.name, row.skills) == ("Ann Lee", ["baking"])
+
+
 def test_parse_free_text(texts):
     docs = texts(CV, "", "   ")
     whole = rows(XT.parse_resume_text(docs), "doc_id")
