@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from talentweave.llm.alignment import op11_alignment
 from talentweave.llm.host_rules import op4_host_rules
 from talentweave.llm.leaks import op9_leaks
 from talentweave.llm.licenses import op6_licenses
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_copies": op8_near_copies,
     "op9_leaks": op9_leaks,
     "op10_repeated_bytes": op10_repeated_bytes,
+    "op11_alignment": op11_alignment,
 }
 ORACLES: dict[str, str] = {}
