@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from talentweave.llm.common import table, worker_cache, written
 from talentweave.llm.tokens import tokenizer_path
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 Encode = Callable[[list[str]], pa.ListArray]
 
 

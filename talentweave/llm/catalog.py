@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from talentweave.llm import close_vectors, hard_negatives
 from talentweave.llm.alignment import op11_alignment
+from talentweave.llm.close_vectors import op13_close_vectors
+from talentweave.llm.hard_negatives import op12_hard_negatives
 from talentweave.llm.host_rules import op4_host_rules
 from talentweave.llm.leaks import op9_leaks
 from talentweave.llm.licenses import op6_licenses
@@ -30,5 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_leaks": op9_leaks,
     "op10_repeated_bytes": op10_repeated_bytes,
     "op11_alignment": op11_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_close_vectors": op13_close_vectors,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_hard_negatives": hard_negatives.SQL, "op13_close_vectors": close_vectors.SQL}
