@@ -569,11 +569,10 @@ def profile_left_column(v: Views) -> DataFrame:
 @query
 def profile_right_column(v: Views) -> DataFrame:
     right = P.profile_right_column(profile_lines(v, "right"))
-    head = P.profile_head(right)
-    sizes = right.groupBy("doc_id").agg(
-        F.count_if(F.col("section") == "experience").alias("n_experience"), F.count_if(F.col("section") == "education").alias("n_education")
+    return right.select(
+        "doc_id", "name", "title", "location", "summary", F.size("experience").cast("long").alias("n_experience"),
+        F.size("education").cast("long").alias("n_education"),
     )
-    return head.join(sizes, "doc_id")
 
 
 @query
@@ -652,8 +651,7 @@ def clean_description(v: Views) -> DataFrame:
 
 
 def _right_section(v: Views, name: str) -> DataFrame:
-    right = P.profile_right_column(profile_lines(v, "right"))
-    return right.where(F.col("section") == name).select("doc_id", "pos", "line")
+    return P.section_lines(P.profile_right_column(profile_lines(v, "right")), name)
 
 
 @query
@@ -813,6 +811,32 @@ def parse_resume_profile(v: Views) -> DataFrame:
     return _summary(P.parse_resume_profile(v.written_texts("profile_box")))
 
 
+def _contents(df: DataFrame) -> DataFrame:
+    """The nested parts of parsed résumés, one item in a row."""
+    def items(part: str, source: str, *fields: str) -> DataFrame:
+        rows = df.select("doc_id", F.posexplode(source).alias("pos", "x"))
+        values = [F.col(f"x.{f}") for f in fields] if fields else [F.col("x"), F.lit(""), F.lit("")]
+        return rows.select("doc_id", F.lit(part).alias("part"), "pos", *[c.alias(n) for c, n in zip(values, ("what", "where_", "when_"), strict=True)])
+
+    jobs, schools = items("job", "experience", "title", "company", "period"), items("school", "education", "degree", "institution", "period")
+    return jobs.unionByName(schools).unionByName(items("skill", "skills"))
+
+
+@query
+def parse_resume_text_contents(v: Views) -> DataFrame:
+    return _contents(XT.parse_resume_text(resume_text(v)))
+
+
+@query
+def parse_resume_dataset_contents(v: Views) -> DataFrame:
+    return _contents(XD.parse_resume_dataset(dataset_text(v)))
+
+
+@query
+def parse_resume_profile_contents(v: Views) -> DataFrame:
+    return _contents(P.parse_resume_profile(v.written_texts("profile_box")))
+
+
 # --- embedding and matching
 
 

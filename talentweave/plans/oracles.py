@@ -434,6 +434,18 @@ RAW: dict[str, str] = {
     "parse_resume_profile": f"""
         SELECT p.doc_id, name, email, {initcap('first_title')} AS title, {letters(initcap('location'))} AS location, n_jobs::INT AS n_jobs, 1 AS n_schools,
                len(s.skills)::INT AS n_skills, (max_y + 1 - edu_year)::INT AS total_experience FROM page p JOIN page_skills s ON s.doc_id = p.doc_id""",
+    "parse_resume_text_contents": f"""
+        SELECT doc_id, 'job' AS part, i::INT AS pos, title AS what, company AS where_, period AS when_ FROM page_job
+        UNION ALL SELECT doc_id, 'school', 0, 'Bachelor of Science', 'University of ' || {letters('r_name')}, CAST(edu_year AS VARCHAR) FROM page
+        UNION ALL SELECT doc_id, 'skill', i::INT, lower(skill), '', '' FROM page_skill""",
+    "parse_resume_dataset_contents": f"""
+        SELECT doc_id, 'job' AS part, i::INT AS pos, {_CAP} AS what, company AS where_, period AS when_ FROM page_job
+        UNION ALL SELECT doc_id, 'school', 0, 'Bachelor', '', CAST(edu_year AS VARCHAR) FROM page
+        UNION ALL SELECT doc_id, 'skill', i::INT, lower(skill), '', '' FROM page_skill""",
+    "parse_resume_profile_contents": f"""
+        SELECT doc_id, 'job' AS part, i::INT AS pos, title AS what, company AS where_, 'January ' || y || ' - March ' || (y + 1) || ' (1 year 3 months)' AS when_ FROM page_job
+        UNION ALL SELECT doc_id, 'school', 0, 'Bachelor of Science', 'University of ' || {letters(initcap('r_name'))}, CAST(edu_year AS VARCHAR) FROM page
+        UNION ALL SELECT doc_id, 'skill', i::INT, skill, '', '' FROM page_skill""",
     # embedding and matching
     "embed_texts": f"""
         SELECT concat('A', CAST(doc_id AS VARCHAR)) AS id, 'cv' AS kind, 'query' AS role, md5('Query: ' || text) AS digest, 64 AS dim, 1.0::DOUBLE AS norm FROM documents""",
