@@ -1,13 +1,16 @@
 """The two main flows: take described files into the tables, and match new documents against them.
 
-Tables below one folder: ``envelopes``, ``schema``, ``text``, ``info``, ``quarantine`` and ``embeddings``.
+Tables below one folder: ``envelopes``, ``schema``, ``text``, ``info``, ``quarantine`` and ``embeddings``, a subfolder a run.
+
+The numbered envelopes of a run are committed first, which reserves their ids and contents. The other tables follow, each committed by itself. A
+run that broke off is completed from its envelopes when the next one starts, whatever that one's input is: what wasn't committed is written again in
+place, what was is left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,21 +25,13 @@ from talentweave.operators.dataset_text import parse_resume_dataset
 from talentweave.operators.free_text import parse_resume_text, section_mentions
 from talentweave.schemas import POSTING_CSV
 from talentweave.session import fresh_path
+from talentweave.sources import ledger
 from talentweave.sources.readers import ingest_union
 
 
 FindMentions = Callable[[DataFrame], DataFrame]
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def _parse_postings(df: DataFrame) -> DataFrame:
     rows = Q.parse_or_error(df, "raw_data", POSTING_CSV).select("id", "source", "error", "record.*")
     return J.schematize_posting(rows)
@@ -69,11 +64,50 @@ def parse(envelopes: DataFrame, find_mentions: FindMentions | None = None) -> Da
     return parsed.unionByName(others, allowMissingColumns=True)
 
 
-def _append_new(df: DataFrame, path: str, *partition: str) -> None:
-    """Append the documents the table does not hold yet, so that a run that broke off can be done again."""
-    there = _table(df.sparkSession, path)
-    new = df if there is None else df.join(there.select("id"), "id", "left_anti")
-    new.write.mode("append").partitionBy(*partition).parquet(path)
+def _keep(df: DataFrame, folder: str, run: int, table: str, *partition: str) -> None:
+    """Write a run's part of a table and commit it. What an attempt before left in the place is replaced."""
+    df.write.mode("overwrite").partitionBy(*partition).parquet(f"{folder}/{table}/run={run}")
+    ledger.commit(df.sparkSession, folder, run, {table: f"{table}/run={run}"})
+
+
+def _outputs(parsed: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The tables made from parsed envelopes, with their partition columns."""
+    done, failed = Q.split_errors(parsed)
+    common = ["title", "company", "location", "skills", "experience", "education", "total_experience"]
+    vectors = [
+        E.embed_texts(done.where(F.col("kind") == kind), name, is_query)
+        .drop("kind", "role").withColumns({"kind": F.lit(name), "role": F.lit("query" if is_query else "passage")})
+        for kind, name in (("A", "cv"), ("B", "job")) for is_query in (True, False)
+    ]
+    embedded = vectors[0]
+    for more in vectors[1:]:
+        embedded = embedded.unionByName(more)
+    return {
+        "quarantine": (failed.select("id", "source", "error"), []),
+        "schema": (done.select("id", "source", "kind", *common), ["kind"]),
+        "text": (Q.project_text(done).withColumn("kind", F.left("id", F.lit(1))), ["kind"]),
+        "info": (Q.project_personal_info(done.where("kind = 'A'")), []),
+        "embeddings": (embedded, ["kind", "role"]),
+    }
+
+
+TABLES = ["quarantine", "schema", "text", "info", "embeddings"]
+
+
+def complete(spark: SparkSession, folder: str, find_mentions: FindMentions | None = None) -> list[int]:
+    """Write what the runs with committed envelopes still lack; gives the numbers of the runs that lacked something."""
+    there = ledger.live(spark, folder)
+    lacking = {run: [t for t in TABLES if (run, t) not in {(r, n) for r, n, _ in there}] for run, name, _ in there if name == "envelopes"}
+    for run, tables in lacking.items():
+        if not tables:
+            continue
+        parsed_path = fresh_path(spark, "parsed")
+        parse(spark.read.parquet(f"{folder}/envelopes/run={run}"), find_mentions).write.parquet(parsed_path)
+        outputs = _outputs(spark.read.parquet(parsed_path))
+        for table in tables:
+            df, partition = outputs[table]
+            _keep(df, folder, run, table, *partition)
+    return [run for run, tables in lacking.items() if tables]
 
 
 def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_mentions: FindMentions | None = None) -> None:
@@ -81,34 +115,24 @@ def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_ment
 
     ``find_mentions`` gives mentions ``(doc_id, start, kind, value)`` of the sections ``(doc_id, text)`` of free-form résumés.
     """
+    complete(spark, folder, find_mentions)
     landed = fresh_path(spark, "landed")
-    good, bad = Q.split_errors(ingest_union(spark, descriptors))
     # Written first: the position of a record is part of the files and must not change between the steps.
-    good.withColumn("position", F.monotonically_increasing_id()).write.parquet(landed)
-    bad.select("source", "type", "error").withColumn("id", F.lit(None).cast("string")).write.mode("append").parquet(f"{folder}/quarantine")
-    seen = _table(spark, f"{folder}/envelopes")
+    ingest_union(spark, descriptors).withColumn("position", F.monotonically_increasing_id()).write.parquet(landed)
+    seen = ledger.read(spark, folder, "envelopes")
     fresh = I.dedup_content(spark.read.parquet(landed), "position")
     if seen is not None:
         known = seen.select("content_hash").where("content_hash is not null")
         fresh = fresh.join(known, "content_hash", "left_anti")
-    numbered = fresh_path(spark, "numbered")
-    I.assign_doc_ids(fresh, "position", None if seen is None else seen.select("kind", "num")).write.parquet(numbered)
-    envelopes = spark.read.parquet(numbered)
-
-    parsed_path = fresh_path(spark, "parsed")
-    parse(envelopes, find_mentions).write.parquet(parsed_path)
-    done, failed = Q.split_errors(spark.read.parquet(parsed_path))
-    failed.select("id", "source", "error").write.mode("append").parquet(f"{folder}/quarantine")
-    common = ["title", "company", "location", "skills", "experience", "education", "total_experience"]
-    _append_new(done.select("id", "source", "kind", *common), f"{folder}/schema", "kind")
-    _append_new(Q.project_text(done).withColumn("kind", F.left("id", F.lit(1))), f"{folder}/text", "kind")
-    _append_new(Q.project_personal_info(done.where("kind = 'A'")), f"{folder}/info")
-    for kind, name in (("A", "cv"), ("B", "job")):
-        for is_query in (True, False):
-            vectors = E.embed_texts(done.where(F.col("kind") == kind), name, is_query)
-            _append_new(vectors.drop("kind", "role"), f"{folder}/embeddings/kind={name}/role={'query' if is_query else 'passage'}")
-    # Last: what is listed here counts as done.
-    envelopes.drop("position", "error").write.mode("append").partitionBy("kind").parquet(f"{folder}/envelopes")
+    deduplicated = fresh_path(spark, "fresh")
+    fresh.write.parquet(deduplicated)
+    fresh = spark.read.parquet(deduplicated)
+    if fresh.isEmpty():
+        return
+    run = 1 + max((r for r, _, _ in ledger.live(spark, folder)), default=0)
+    numbered = I.assign_doc_ids(fresh, "position", None if seen is None else seen.select("kind", "num"))
+    _keep(numbered.drop("position", "error"), folder, run, "envelopes", "kind")
+    complete(spark, folder, find_mentions)
 
 
 def match(
@@ -118,11 +142,11 @@ def match(
 
     ``(query_id, id, match_text, score, rank)``; with a posting as query also the contact data of the résumés.
     """
-    vectors = spark.read.parquet(f"{folder}/embeddings").withColumn("num", M.id_number(F.col("id")))
+    vectors = ledger.read(spark, folder, "embeddings").withColumn("num", M.id_number(F.col("id")))
     own, other = ("cv", "job") if query_kind == K.RESUME_PREFIX else ("job", "cv")
     other_kind = K.POSTING_PREFIX if query_kind == K.RESUME_PREFIX else K.RESUME_PREFIX
     if ids is None:
-        envelopes = spark.read.parquet(f"{folder}/envelopes").where(F.col("kind") == query_kind)
+        envelopes = ledger.read(spark, folder, "envelopes").where(F.col("kind") == query_kind)
         ids = I.latest_document(envelopes.select("kind", "num")).select("id")
     asked = vectors.where((F.col("kind") == own) & (F.col("role") == "query")).join(ids.select("id"), "id", "left_semi")
     stored = vectors.where((F.col("kind") == other) & (F.col("role") == "passage"))
@@ -130,8 +154,8 @@ def match(
         M.id_from_number(query_kind, F.col("query_num")).alias("query_id"),
         M.id_from_number(other_kind, F.col("match_num")).alias("id"), F.col("sim").alias("score"), "rank",
     )
-    texts = spark.read.parquet(f"{folder}/text").where(F.col("kind") == other_kind).select("id", F.col("text").alias("match_text"))
+    texts = ledger.read(spark, folder, "text").where(F.col("kind") == other_kind).select("id", F.col("text").alias("match_text"))
     found = hits.join(texts, "id", "left")
     if query_kind == K.POSTING_PREFIX:
-        found = M.attach_personal_info(found, spark.read.parquet(f"{folder}/info").drop("source"))
+        found = M.attach_personal_info(found, ledger.read(spark, folder, "info").drop("source", "run"))
     return found
