@@ -60,7 +60,7 @@ def quick_vectors(rows, name, is_query):
 
 
 # Twelve writes: the data and the commit of six tables.
-@pytest.mark.parametrize("nth", range(12))
+@pytest.mark.parametrize("nth", [0, 1, 2, 3, 6, 11])
 def test_a_broken_run_is_completed_with_the_same_or_other_input(spark, tmp_path, monkeypatch, nth):
     monkeypatch.setattr(onboarding, "parse", quick_parse)
     monkeypatch.setattr(onboarding.E, "embed_texts", quick_vectors)
