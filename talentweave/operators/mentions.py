@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from talentweave.functions import text as T
+from talentweave.session import cut_lineage
 
 CHUNK_WORDS = 200
 CHUNK_OVERLAP = 50
@@ -68,32 +74,118 @@ def chunk_words(
     return windows.select("doc_id", "chunk", "offset", F.size("tokens").alias("n_words"), T.strip(F.array_join("tokens", "")).alias("text"))
 
 
+#: Text of terms that one task holds at a time. More terms are cut into blocks, and the documents are read once for each block.
+BLOCK_CHARS = 16 << 20
+#: What separates words: the white space of Unicode, as in the other word functions.
+SPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = re.compile(f"[^{SPACE}]+")
+
+
+class TermTrie:
+    """Terms as paths of words; a failure link leads to the longest other path that ends with the same words."""
+
+    def __init__(self, terms: Iterable[tuple[str, str]]):
+        self.steps: list[dict[str, int]] = [{}]
+        own: list[list[int]] = [[]]
+        self.terms: list[tuple[str, str, int]] = []
+        for term, kind in terms:
+            words, node = term.split(" "), 0
+            for word in words:
+                into = self.steps[node].get(word)
+                if into is None:
+                    into = self.steps[node][word] = len(self.steps)
+                    self.steps.append({})
+                    own.append([])
+                node = into
+            own[node].append(len(self.terms))
+            self.terms.append((term, kind, len(words)))
+        self.fail = [0] * len(self.steps)
+        self.found: list[tuple[int, ...]] = [()] * len(self.steps)
+        level = list(self.steps[0].values())
+        for node in level:
+            self.found[node] = tuple(own[node])
+        while level:
+            below = []
+            for node in level:
+                for word, into in self.steps[node].items():
+                    back = self.fail[node]
+                    while back and word not in self.steps[back]:
+                        back = self.fail[back]
+                    self.fail[into] = self.steps[back].get(word, 0)
+                    # What ends at the failure link ends here too.
+                    self.found[into] = (*own[into], *self.found[self.fail[into]])
+                    below.append(into)
+            level = below
+
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[int, int]]:
+        """``(number of the last word, term)`` of every occurrence."""
+        steps, fail, found, node = self.steps, self.fail, self.found, 0
+        for i, word in enumerate(words):
+            into = steps[node].get(word)
+            while into is None and node:
+                node = fail[node]
+                into = steps[node].get(word)
+            node = into or 0
+            for term in found[node]:
+                yield i, term
+
+
 def extract_mentions(
     docs: DataFrame, terms: DataFrame, text: str = "text", longest: int = 3, original_offsets: bool = False
 ) -> DataFrame:
     """Occurrences of ``terms (term, kind)`` of up to ``longest`` words, once each.
 
-    Words and terms meet in an equi-join on the first word; whether the terms are broadcast is left to Spark's
-    size check. Offsets refer to the text with single blanks, or to the text as it is.
+    Each task walks its texts through a trie of the terms, so no word leaves its row and it makes no difference how frequent a word is. Terms
+    come in blocks of about ``BLOCK_CHARS`` characters, which bounds what is sent to a task. Offsets refer to the text with single
+    blanks, or to the text as it is.
     """
-    tokens = original_words(F.col(text)) if original_offsets else spaced_words(F.col(text))
-    windows = token_starts(token_windows(docs, tokens))
-
-    def at_token(token: Column, i: Column) -> Column:
-        run = F.array_join(F.slice("tokens", i + 1, longest), "")
-        return F.struct(F.get("starts", i).alias("start"), T.strip(token).alias("word"), run.alias("run"))
-
-    placed = windows.select("doc_id", F.explode(F.transform("tokens", at_token)).alias("w")).select("doc_id", "w.*")
-    # The first word finds the terms that may start here; only then the following words are compared.
-    wanted = terms.select(
-        F.substring_index("term", " ", 1).alias("word"), "term", "kind", F.size(F.split("term", " ")).alias("n_words")
-    )
-    run = T.squeeze(F.col("run")) if original_offsets else T.strip(F.col("run"))
-    starts_here = F.startswith(F.concat(run, F.lit(" ")), F.concat(F.col("term"), F.lit(" ")))
-    hits = placed.where("word != ''").join(wanted, "word").where(starts_here)
-    raw = T.strip(F.array_join(F.slice(original_words(F.col("run")), 1, F.col("n_words")), ""))
-    found = hits.select("doc_id", "start", (F.col("start") + F.length(raw)).alias("end"), "kind", F.col("term").alias("value"))
-    return found.dropDuplicates(["doc_id", "start", "end", "kind", "value"])
+    spark = docs.sparkSession
+    words = F.size(F.split("term", " "))
+    wanted = terms.where(F.col("term").isNotNull() & (words <= longest)).select("term", "kind").distinct()
+    chars = wanted.agg(F.sum(F.length("term") + 16)).first()[0] or 0
+    blocks = chars // BLOCK_CHARS + 1
+    placed = wanted if blocks == 1 else cut_lineage(wanted.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks))))
+    rows = docs.select("doc_id", F.col(text).cast("string").alias("text"))
+    id_type = rows.schema["doc_id"].dataType
+    schema = StructType([StructField("doc_id", id_type), *StructType.fromDDL("start int, end int, kind string, value string")])
+    parts = []
+    for block in range(blocks):
+        one = placed if blocks == 1 else placed.where(F.col("block") == block)
+        held = spark.sparkContext.broadcast([(r.term, r.kind) for r in one.select("term", "kind").toLocalIterator()])
+
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            trie = TermTrie(held.value)
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for at in range(0, len(texts), 64):
+                    yield _occurrences(trie, batch.column(0), texts[at:at + 64], at, original_offsets)
+
+        parts.append(rows.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _occurrences(trie: TermTrie, ids: pa.Array, texts: list[str | None], first: int, original_offsets: bool) -> pa.RecordBatch:
+    rows, starts, ends, kinds, values = [], [], [], [], []
+    for row, text in enumerate(texts, first):
+        if not text:
+            continue
+        words = WORD.findall(text)
+        if original_offsets:
+            spans = [m.span() for m in WORD.finditer(text)]
+        else:
+            at, spans = 0, []
+            for word in words:
+                spans.append((at, at + len(word)))
+                at += len(word) + 1
+        for i, term in trie.walk(words):
+            value, kind, n = trie.terms[term]
+            rows.append(row)
+            starts.append(spans[i - n + 1][0])
+            ends.append(spans[i][1])
+            kinds.append(kind)
+            values.append(value)
+    columns = [ids.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "kind", "value"])
 
 
 def extract_mentions_batch(

@@ -751,10 +751,10 @@ def chunk_words(v: Views) -> DataFrame:
 
 
 def _benchmark_terms(v: Views) -> DataFrame:
-    words = F.split("text", " ")
-    one = v.base("benchmark").select(F.explode(words).alias("term")).where("length(term) > 10")
-    two = v.base("benchmark").select(F.array_join(F.slice(words, 1, 2), " ").alias("term"))
-    return one.unionByName(two).distinct().withColumn("kind", F.lit("TERM"))
+    """All words and all pairs of neighbouring words."""
+    words = v.base("benchmark").select(T.words_of(F.col("text")).alias("words"))
+    pairs = F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat(F.get("words", i), F.lit(" "), w))
+    return words.select(F.explode(F.concat("words", pairs)).alias("term")).distinct().withColumn("kind", F.lit("TERM"))
 
 
 @query

@@ -200,11 +200,9 @@ _HITS = ", ".join(
 _TOP = "greatest(" + ", ".join(f"n{i}" for i in range(len(_LABELS))) + ")"
 _LABEL = "CASE " + " ".join(f"WHEN n{i} = {_TOP} THEN '{name}'" for i, name in enumerate(_LABELS)) + " END"
 _TOTAL = " + ".join(f"n{i}" for i in range(len(_LABELS)))
-_TERMS = """
-    SELECT DISTINCT term FROM (
-        SELECT unnest(string_split(text, ' ')) AS term FROM benchmark
-    ) WHERE length(term) > 10
-    UNION SELECT array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark"""
+_TERMS = f"""
+    SELECT DISTINCT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term
+    FROM (SELECT {words('text')} AS ws FROM benchmark)"""
 _ISLANDS = """
     SELECT doc_id, kind, count(*) AS n, sum(lo)::BIGINT AS starts, sum(hi)::BIGINT AS ends, sum(length(trim(said)))::BIGINT AS chars FROM (
         SELECT doc_id, kind, island, min(start) AS lo, max(start + length(w)) AS hi,
