@@ -304,8 +304,25 @@ def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays"))
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name with as many underscores as make it none of the columns of ``docs``."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of the document that stands for its class; documents in no class with others all stay."""
-    kept = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_key")).distinct()
-    return docs.withColumn("_k", text_key()).join(
-        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_k") == F.col("_key")), "left_semi").drop("_k")
+    """Rows of the document that stands for its class; documents in no class with others all stay.
+
+    Of rows equal in doc_id and text one stays, whichever if their other columns differ. Those columns can have any name.
+    """
+    key, kept_id, kept_key, rows = (_free(n, docs) for n in ("key", "kept_id", "kept_key", "rows"))
+    stands = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = written(stands.groupBy(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).agg(F.count("*").alias(rows)), "kept")
+    keyed = docs.withColumn(key, text_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))
+    out = keyed.join(kept.where(F.col(rows) == 1), same, "left_semi")
+    repeated = kept.where(F.col(rows) > 1)
+    if not repeated.isEmpty():  # only these move with their texts
+        out = out.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", key]))
+    return out.drop(key)

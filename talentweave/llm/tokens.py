@@ -8,6 +8,7 @@ normalizer, splitter and model do the work for each new word.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -36,29 +37,32 @@ class Encoder:
         held = worker_cache(f"tokens {path}")
         if not held:
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
             as_bytes = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
             held.update(
                 tokenizer=tokenizer, model=tokenizer.model, normalizer=tokenizer.normalizer,
-                splitter=tokenizer.pre_tokenizer, as_bytes=as_bytes, words={}, pieces={},
+                splitter=tokenizer.pre_tokenizer, as_bytes=as_bytes, words={}, pieces={}, special=re.compile("|".join(special) or r"(?!)"),
             )
         self.__dict__.update(held)
         self.end = b"" if end_id is None else np.uint16(end_id).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(piece)], "<u2").tobytes()
+        ids = array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
         if len(self.pieces) >= PIECES_KEPT:
             self.pieces.clear()
         self.pieces[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        if len(word) > 1000:
+        # Special tokens are what the file says they are, also inside a word.
+        if len(word) > 1000 or ("<" in word and self.special.search(word)):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-        if PLAIN_WORD.fullmatch(word):
+        # Printable ASCII without a blank is plain; so are Latin-1 letters among it.
+        ascii_word = word.isascii()
+        if word.isprintable() if ascii_word else PLAIN_WORD.fullmatch(word):
             lower = word.lower()
-            parts = PIECES.findall(lower)
-            if not lower.isascii():
+            parts = [lower] if lower.isalpha() else PIECES.findall(lower)
+            if not ascii_word:
                 parts = [p.translate(self.as_bytes) for p in parts]
         else:
             parts = [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))]
@@ -70,10 +74,13 @@ class Encoder:
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
-        get = self.words.get
-        out = []
-        for word in (text or "").replace("\n", " ").split(" "):
-            ids = get(word)
-            out.append(self._word(word) if ids is None else ids)
-        out.append(self.end)
-        return np.frombuffer(b"".join(out), "<u2")
+        words = (text or "").replace("\n", " ").split(" ")
+        found = list(map(self.words.get, words))
+        at = 0
+        try:
+            while True:  # until no word is left without ids
+                at = found.index(None, at)
+                found[at] = self._word(words[at])
+        except ValueError:
+            found.append(self.end)
+        return np.frombuffer(b"".join(found), "<u2")

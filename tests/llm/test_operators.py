@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from talentweave.llm import host_rules, leaks, licenses, near_copies, packing, private, records, repeated_bytes, sharding, tokens, toxicity
@@ -72,9 +73,20 @@ def test_checksums_and_damage():
 
 
 def test_words_encode_as_whole_texts():
-    encoder = tokens.Encoder(tokens.tokenizer_path())
-    for text in ["don't WE'LL ab'sc", "ª µ×ÿŸ é'sß", "İstanbul ΣΑΣ ́a 日本語 ﬁ", "a\x00b \x1c 4५\r\n\t", "<|endoftext|> x", LONG[:3000]]:
-        assert encoder.encode(text).tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    encoder, library = tokens.Encoder(tokens.tokenizer_path()), Tokenizer.from_file(tokens.tokenizer_path())
+    r = random.Random(6)
+    mixed = ["".join(r.choice("ab'sStT<|>endoftx \n\t½éÉßªµ×Ÿ1٣日́İﬁ-_.,  \x00\x7f\x85") for _ in range(60)) for _ in range(1500)]
+    fixed = ["don't WE'LL ab'sc", "ª µ×ÿŸ é'sß", "İstanbul ΣΑΣ ́a 日本語 ﬁ", "a\x00b \x1c 4५\r\n\t", "<|endoftext|> x", "a<|endoftext|>b <|startoftext|><|endoftext|>", "", " ", LONG[:3000]]
+    for text in fixed + mixed:
+        assert encoder.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_one_of_equal_rows_stays(spark):
+    rows = [(1, prose(40, 1), 7, "a"), (1, prose(40, 1), 8, "b"), (2, prose(40, 1), 7, "c"), (3, prose(40, 2), 7, "d"), (None, "", 1, "e"), (None, None, 1, "f"), (4, prose(40, 1) + " x", 7, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rows int, key string")
+    found = near_copies.keep_one(docs).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in found) == sorted([(0, ""), (1, prose(40, 1)), (3, prose(40, 2))])
+    assert set(found[0].asDict()) == {"doc_id", "text", "rows", "key"}
 
 
 def test_toxicity_learns_and_scores_every_row(spark, docs, none):
