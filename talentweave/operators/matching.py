@@ -153,8 +153,10 @@ def knn_cvs_for_job(posting_vectors: DataFrame, resume_vectors: DataFrame, k: in
 
 
 def lookup_text_embedding(texts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Vector of each query text, by an equi-join on the text."""
-    return texts.join(vectors, "text")
+    """Vector of each query text, by an equi-join on the text; of several vectors of one text the smallest row."""
+    rest = [c for c in vectors.columns if c != "text"]
+    one = vectors.groupBy("text").agg(F.min(F.struct(*rest)).alias("_row"))
+    return texts.join(one.select("text", "_row.*"), "text")
 
 
 def id_number(id_: Column) -> Column:

@@ -16,15 +16,15 @@ PAIR = ["cv_num", "job_num"]
 
 
 def jaccard_of_arrays(a: Column, b: Column) -> Column:
-    """Overlap of two skill lists; null counts as empty, two empty lists give 0."""
+    """Overlap of two skill lists; null counts as empty, two empty lists give 0. Four decimals."""
     none = F.array().cast("array<string>")
     a, b = F.coalesce(a, none), F.coalesce(b, none)
     union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return F.when(union == 0, 0.0).otherwise(F.bround(F.size(F.array_intersect(a, b)) / union, 4))
 
 
 def skill_jaccard(pairs: DataFrame, cv_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
-    """Add ``jaccard`` from the skill tables ``(num, skill)`` without repeats.
+    """Add ``jaccard``, with four decimals, from the skill tables ``(num, skill)`` without repeats.
 
     Common skills are counted by a join on posting and skill together, so no skill list is gathered and a
     posting or skill with most of the rows does not end up in one task.
@@ -38,7 +38,7 @@ def skill_jaccard(pairs: DataFrame, cv_skill: DataFrame, job_skill: DataFrame) -
     joined = pairs.join(common, PAIR, "left").join(cv_size, "cv_num", "left").join(job_size, "job_num", "left")
     both = F.coalesce("_common", F.lit(0))
     union = F.coalesce("_cv_size", F.lit(0)) + F.coalesce("_job_size", F.lit(0)) - both
-    value = F.when(union == 0, 0.0).otherwise(both / union)
+    value = F.when(union == 0, 0.0).otherwise(F.bround(both / union, 4))
     return joined.withColumn("jaccard", value).drop("_common", "_cv_size", "_job_size")
 
 

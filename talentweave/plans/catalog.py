@@ -871,7 +871,7 @@ def knn_blocked(v: Views) -> DataFrame:
 @query
 def lookup_text_embedding(v: Views) -> DataFrame:
     vectors = v.base("embeddings").select(F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"), "embedding")
-    asked = v.profile_vec().select("num", F.concat(F.lit("vector "), (F.col("num") * 2).cast("string")).alias("text"))
+    asked = vectors.select(F.substr("text", F.lit(8)).cast("long").alias("num"), "text")
     found = M.lookup_text_embedding(asked, vectors)
     return found.select("num", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").alias("dim"))
 
@@ -958,50 +958,29 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
-@query
-def final_score(v: Views) -> DataFrame:
-    rows = funnel.score_pairs(candidate_pairs(v), corpus(v), False, with_title_text=False)
-    return _scored(rows.select("job_num", "cv_num", "score"))
-
-
-@query
-def final_score_with_title_text(v: Views) -> DataFrame:
-    rows = funnel.score_pairs(candidate_pairs(v), corpus(v), False)
-    return _scored(rows.select("job_num", "cv_num", "score"))
-
-
-@query
-def funnel_best_cv(v: Views) -> DataFrame:
-    return _scored(funnel.funnel_best_cv(corpus(v), with_title_text=False).select("job_num", "cv_num", "score"))
-
-
-@query
-def funnel_best_job(v: Views) -> DataFrame:
-    return _scored(funnel.funnel_best_job(corpus(v), with_title_text=False).select("cv_num", "job_num", "score"))
-
-
-@query
-def funnel_cvs_ranked(v: Views) -> DataFrame:
-    return _scored(funnel.funnel_cvs_ranked(corpus(v), with_title_text=False).select("job_num", "cv_num", "score", "place"))
-
-
-@query
-def funnel_jobs_ranked(v: Views) -> DataFrame:
-    return _scored(funnel.funnel_jobs_ranked(corpus(v), with_title_text=False).select("cv_num", "job_num", "score", "place"))
-
+def _final_score(with_title_text: bool) -> Callable[[Views], DataFrame]:
+    return lambda v: _scored(
+        funnel.score_pairs(candidate_pairs(v), corpus(v), False, with_title_text=with_title_text).select("job_num", "cv_num", "score"))
 
-#: The funnels by the full score. The SQL of the four above has no title text, and none of these has SQL.
-FULL_SCORE: dict[str, Callable[[Views], DataFrame]] = {}
 
+def _funnel_query(run: Callable[..., DataFrame], with_title_text: bool, columns: tuple[str, ...]) -> Callable[[Views], DataFrame]:
+    return lambda v: _scored(run(corpus(v), with_title_text=with_title_text).select(*columns, "score"))
 
-def _full_score_query(name: str, run: Callable[[funnel.Corpus], DataFrame], *columns: str) -> None:
-    FULL_SCORE[f"{name}_with_title_text"] = lambda v: _scored(run(corpus(v)).select(*columns, "score"))
 
+QUERIES["final_score"] = QUERIES["final_score_with_title_text"] = _final_score(True)
+QUERIES["final_score_without_title_text"] = _final_score(False)
+FUNNELS = {
+    "funnel_best_cv": (funnel.funnel_best_cv, ("job_num", "cv_num")), "funnel_best_job": (funnel.funnel_best_job, ("cv_num", "job_num")),
+    "funnel_cvs_ranked": (funnel.funnel_cvs_ranked, ("job_num", "cv_num", "place")),
+    "funnel_jobs_ranked": (funnel.funnel_jobs_ranked, ("cv_num", "job_num", "place")),
+}
+#: The score has a term that SQL can't express; the same queries without it have SQL.
+for _name, (_run, _columns) in FUNNELS.items():
+    QUERIES[_name] = _funnel_query(_run, True, _columns)
+    QUERIES[f"{_name}_without_title_text"] = _funnel_query(_run, False, _columns)
 
-_full_score_query("funnel_best_cv", funnel.funnel_best_cv, "job_num", "cv_num")
-_full_score_query("funnel_best_job", funnel.funnel_best_job, "cv_num", "job_num")
-_full_score_query("funnel_cvs_ranked", funnel.funnel_cvs_ranked, "job_num", "cv_num", "place")
-_full_score_query("funnel_jobs_ranked", funnel.funnel_jobs_ranked, "cv_num", "job_num", "place")
+#: The names the full funnels had before.
+FULL_SCORE: dict[str, Callable[[Views], DataFrame]] = {f"{name}_with_title_text": QUERIES[name] for name in FUNNELS}
 
 
 # --- analytics

@@ -35,8 +35,8 @@ VIEWS = {
         FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
         JOIN (SELECT o_custkey, max(year(o_orderdate)) - min(year(o_orderdate)) AS total_experience
               FROM orders GROUP BY o_custkey) x ON x.o_custkey = c.c_custkey""",
-    "profile_skill": "SELECT DISTINCT num, p_brand AS skill FROM sel_lines WHERE l_quantity >= 40",
-    "profile_title": "SELECT DISTINCT num, p_name AS title FROM sel_lines WHERE l_quantity >= 48",
+    "profile_skill": "SELECT DISTINCT num, p_brand AS skill FROM sel_lines",
+    "profile_title": "SELECT DISTINCT num, p_name AS title FROM sel_lines",
     "first_line": """
         SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY o_orderkey
             ORDER BY l_linenumber, p_name, p_brand, s_name, l_quantity) AS rn FROM sel_lines q) z WHERE rn = 1""",
@@ -114,7 +114,7 @@ VIEWS = {
 }
 _SCORED = """
     SELECT c.job_num, c.cv_num, c.sim, c.rank,
-           CASE WHEN ja.n_cv + ja.n_job - ja.n_both = 0 THEN 0.0::DOUBLE ELSE ja.n_both::DOUBLE / (ja.n_cv + ja.n_job - ja.n_both) END AS jaccard,
+           CASE WHEN ja.n_cv + ja.n_job - ja.n_both = 0 THEN 0.0::DOUBLE ELSE round_even(ja.n_both::DOUBLE / (ja.n_cv + ja.n_job - ja.n_both), 4) END AS jaccard,
            coalesce(CASE WHEN t.exact = 1 THEN 1 ELSE t.groups END, 0)::BIGINT AS category,
            CASE WHEN cl.level - jl.level >= 0 THEN 0.05::DOUBLE * (cl.level - jl.level) / 3
                 ELSE 0.15::DOUBLE * (cl.level - jl.level) / 3 END AS gap
@@ -450,7 +450,7 @@ RAW: dict[str, str] = {
     "knn_jobs_for_cv": _knn("profile_vec", "posting_vec", "cv_num", "job_num", 10),
     "knn_cvs_for_job": _knn("posting_vec", "profile_vec", "job_num", "cv_num", 10),
     "knn_blocked": _knn("profile_vec", "posting_vec", "query_num", "match_num", 10),
-    "lookup_text_embedding": "SELECT num, embedding[1]::DOUBLE AS first, len(embedding)::INT AS dim FROM profile_vec",
+    "lookup_text_embedding": "SELECT vec_id AS num, embedding[1]::DOUBLE AS first, len(embedding)::INT AS dim FROM embeddings",
     "id_number_map": """
         SELECT id, num, concat('B', CAST(num AS VARCHAR)) AS as_posting FROM profile UNION ALL SELECT id, num, id FROM posting""",
     "rank_matches": _knn("posting_vec", "profile_vec", "query_num", "match_num", 20),
@@ -474,16 +474,16 @@ RAW: dict[str, str] = {
     "experience_gap": "SELECT job_num, cv_num, gap FROM pair",
     "dynamic_penalty": """
         SELECT job_num, cv_num, CASE WHEN gap < 0 THEN -0.05::DOUBLE ELSE 0.15::DOUBLE END AS posting_query, 0.0::DOUBLE AS resume_query FROM pair""",
-    "final_score": "SELECT job_num, cv_num, round(score, 6) AS score FROM scored",
-    "funnel_best_cv": """
+    "final_score_without_title_text": "SELECT job_num, cv_num, round(score, 6) AS score FROM scored",
+    "funnel_best_cv_without_title_text": """
         SELECT p.num AS job_num, b.cv_num, coalesce(round(b.score, 6), 0.0) AS score FROM posting p
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY job_num ORDER BY score DESC, rank) AS place FROM scored) b ON b.job_num = p.num AND b.place = 1""",
-    "funnel_best_job": """
+    "funnel_best_job_without_title_text": """
         SELECT p.num AS cv_num, b.job_num, coalesce(round(b.score, 6), 0.0) AS score FROM profile p
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cv_num ORDER BY score DESC, rank) AS place FROM scored_cv) b ON b.cv_num = p.num AND b.place = 1""",
-    "funnel_cvs_ranked": """
+    "funnel_cvs_ranked_without_title_text": """
         SELECT job_num, cv_num, round(score, 6) AS score, (row_number() OVER (PARTITION BY job_num ORDER BY score DESC, rank))::INT AS place FROM scored""",
-    "funnel_jobs_ranked": """
+    "funnel_jobs_ranked_without_title_text": """
         SELECT cv_num, job_num, round(score, 6) AS score, (row_number() OVER (PARTITION BY cv_num ORDER BY score DESC, rank))::INT AS place FROM scored_cv""",
     # analytics
     "freq_titles": "SELECT value, n FROM freq WHERE attribute = 'title'",

@@ -76,10 +76,10 @@ class Views:
         )
 
     def profile_skill(self) -> DataFrame:
-        return self.sel_lines().where("l_quantity >= 40").select("num", F.col("p_brand").alias("skill")).distinct()
+        return self.sel_lines().select("num", F.col("p_brand").alias("skill")).distinct()
 
     def profile_title(self) -> DataFrame:
-        return self.sel_lines().where("l_quantity >= 48").select("num", F.col("p_name").alias("title")).distinct()
+        return self.sel_lines().select("num", F.col("p_name").alias("title")).distinct()
 
     def first_line(self) -> DataFrame:
         order = F.struct("l_linenumber", "p_name", "p_brand", "s_name", "l_quantity")
