@@ -1061,22 +1061,42 @@ def _landed_intake(v: Views) -> str:
     return landed_once(v.spark, v.sf_dir, "intake", lambda p: rows.write.parquet(p))
 
 
-def parse_intake(batch: DataFrame) -> DataFrame:
+def parse_intake(batch: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Envelopes of every route in their schemas with feature text; failures and unknown routes keep id and error."""
     from talentweave.plans.onboarding import parse
 
-    return parse(batch)
+    return parse(batch, boxes=boxes)
+
+
+def _routed_records(v: Views) -> DataFrame:
+    """Envelopes of all routes: those of ``_intake_records``, free texts, dataset texts, profiles, and texts of no known source."""
+    def envelope(rows: DataFrame, letter: str, text: Column, source: str, type_: str) -> DataFrame:
+        tags = [F.lit(x).alias(n) for x, n in ((source, "source"), (type_, "type"), ("cv", "category"))]
+        return rows.select(F.concat(F.lit(f"A{letter}"), F.col("doc_id").cast("string")).alias("id"), text.alias("raw_data"), *tags)
+
+    parts = [
+        envelope(resume_text(v), "t", F.col("text"), "new_texts", "txt"), envelope(dataset_text(v), "d", F.col("text"), "string_dataset", "csv"),
+        envelope(resume_text(v), "p", F.lit("JVBERi0="), "linkedin_pdf", "pdf"), envelope(documents(v), "n", F.col("text"), "elsewhere", "xml"),
+    ]
+    out = _intake_records(v)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 @query
 def fanout_sinks(v: Views) -> DataFrame:
+    landed = landed_once(v.spark, v.sf_dir, "routes", lambda p: ST.producer_to_topic(_routed_records(v)).write.parquet(p))
+    boxes = v.written_texts("profile_box").withColumn("doc_id", F.concat(F.lit("Ap"), "doc_id"))
     folder, checkpoint = fresh_path(v.spark, "fanout"), fresh_path(v.spark, "fanout-checkpoint")
-    rows = ST.decode_envelope(SP.stream_source(v.spark, _landed_intake(v)))
-    SP.start(rows, SP.fanout_sinks(parse_intake, folder), checkpoint, available_now=True).awaitTermination()
-    names = ["schema_cv", "text_cv", "info_cv", "schema_job", "text_job", "quarantine"]
+    rows = ST.decode_envelope(SP.stream_source(v.spark, landed))
+    SP.start(rows, SP.fanout_sinks(lambda batch: parse_intake(batch, boxes), folder), checkpoint, available_now=True).awaitTermination()
+    shown = {
+        "schema_cv": F.json_array_length("experience").cast("string"), "text_cv": F.when(F.length("text") > 20, "said"), "info_cv": F.col("name"),
+        "schema_job": F.col("title"), "text_job": F.when(F.length("text") > 20, "said"), "quarantine": F.lit(None).cast("string")}
     out = None
-    for name in names:
-        one = v.spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("table"), "id")
+    for name, value in shown.items():
+        one = v.spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("table"), "id", value.alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
 

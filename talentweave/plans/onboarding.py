@@ -23,6 +23,7 @@ from talentweave.operators import restructure as J
 from talentweave.operators import routing as Q
 from talentweave.operators.dataset_text import parse_resume_dataset
 from talentweave.operators.free_text import parse_resume_text, section_mentions
+from talentweave.operators.profile import parse_resume_profile
 from talentweave.schemas import POSTING_CSV
 from talentweave.session import fresh_path
 from talentweave.sources import ledger
@@ -51,17 +52,31 @@ def _parse_dataset(df: DataFrame) -> DataFrame:
     return parse_resume_dataset(df.select(F.col("id").alias("doc_id"), "source", F.col("raw_data").alias("text"))).withColumnRenamed("doc_id", "id")
 
 
+def _parse_profile(df: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Profiles from their text boxes ``(doc_id, pdf_page, x0, y1, seq, text)``, ``doc_id`` being the id of the envelope."""
+    own = df.select(F.col("id").alias("doc_id"), "source")
+    parsed = parse_resume_profile(boxes.join(own.select("doc_id"), "doc_id", "left_semi"))
+    # An envelope without boxes is one whose layout could not be read.
+    missing = F.when(F.col("experience").isNull(), F.lit("Could not parse PDF layout"))
+    return own.join(parsed, "doc_id", "left").withColumn("error", F.coalesce("error", missing)).withColumnRenamed("doc_id", "id")
+
+
 PARSERS = {"posting": _parse_postings, "json": _parse_json, "text": _parse_free_text, "dataset": _parse_dataset}
 
 
-def parse(envelopes: DataFrame, find_mentions: FindMentions | None = None) -> DataFrame:
-    """Envelopes of all routes in one table with feature text; failed records have an ``error``."""
+def parse(envelopes: DataFrame, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None) -> DataFrame:
+    """Envelopes of all routes in one table with feature text; failed records have an ``error``.
+
+    ``boxes`` are the text boxes of profile exports; without them that route has no parser. Each parser is planned once; kind and error
+    decide in the row what its text is.
+    """
     parsers = PARSERS | {"text": lambda df: _parse_free_text(df, find_mentions)}
+    if boxes is not None:
+        parsers |= {"profile": lambda df: _parse_profile(df, boxes)}
     rows = Q.parse_by_route(envelopes, parsers).withColumn("kind", F.left("id", F.lit(1)))
-    postings = R.render_posting_text(rows.where("kind = 'B'"))
-    others = rows.where("coalesce(kind, '') not in ('A', 'B')").withColumn("error", F.coalesce("error", F.lit("No kind in the id")))
-    parsed = R.render_resume_text(rows.where("kind = 'A'")).unionByName(postings)
-    return parsed.unionByName(others, allowMissingColumns=True)
+    no_kind = F.when(~F.coalesce(F.col("kind"), F.lit("")).isin("A", "B"), F.lit("No kind in the id"))
+    text = F.when(F.col("kind") == "B", R.posting_text()).when(F.col("kind") == "A", R.resume_text())
+    return rows.withColumns({"error": F.coalesce("error", no_kind), "text": text})
 
 
 def _keep(df: DataFrame, folder: str, run: int, table: str, *partition: str) -> None:
@@ -94,15 +109,16 @@ def _outputs(parsed: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
 TABLES = ["quarantine", "schema", "text", "info", "embeddings"]
 
 
-def complete(spark: SparkSession, folder: str, find_mentions: FindMentions | None = None) -> list[int]:
+def complete(spark: SparkSession, folder: str, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None) -> list[int]:
     """Write what the runs with committed envelopes still lack; gives the numbers of the runs that lacked something."""
+    more = [find_mentions] if boxes is None else [find_mentions, boxes]
     there = ledger.live(spark, folder)
     lacking = {run: [t for t in TABLES if (run, t) not in {(r, n) for r, n, _ in there}] for run, name, _ in there if name == "envelopes"}
     for run, tables in lacking.items():
         if not tables:
             continue
         parsed_path = fresh_path(spark, "parsed")
-        parse(spark.read.parquet(f"{folder}/envelopes/run={run}"), find_mentions).write.parquet(parsed_path)
+        parse(spark.read.parquet(f"{folder}/envelopes/run={run}"), *more).write.parquet(parsed_path)
         outputs = _outputs(spark.read.parquet(parsed_path))
         for table in tables:
             df, partition = outputs[table]
@@ -110,12 +126,13 @@ def complete(spark: SparkSession, folder: str, find_mentions: FindMentions | Non
     return [run for run, tables in lacking.items() if tables]
 
 
-def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_mentions: FindMentions | None = None) -> None:
+def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None) -> None:
     """Read, number, de-duplicate against what is there, parse and append; a repeated file adds nothing.
 
-    ``find_mentions`` gives mentions ``(doc_id, start, kind, value)`` of the sections ``(doc_id, text)`` of free-form résumés.
+    ``find_mentions`` gives mentions ``(doc_id, start, kind, value)`` of the sections ``(doc_id, text)`` of free-form résumés;
+    ``boxes`` the text boxes of profile exports by id.
     """
-    complete(spark, folder, find_mentions)
+    complete(spark, folder, find_mentions, boxes)
     landed = fresh_path(spark, "landed")
     # Written first: the position of a record is part of the files and must not change between the steps.
     ingest_union(spark, descriptors).withColumn("position", F.monotonically_increasing_id()).write.parquet(landed)
@@ -132,7 +149,7 @@ def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_ment
     run = 1 + max((r for r, _, _ in ledger.live(spark, folder)), default=0)
     numbered = I.assign_doc_ids(fresh, "position", None if seen is None else seen.select("kind", "num"))
     _keep(numbered.drop("position", "error"), folder, run, "envelopes", "kind")
-    complete(spark, folder, find_mentions)
+    complete(spark, folder, find_mentions, boxes)
 
 
 def match(

@@ -200,6 +200,9 @@ _HITS = ", ".join(
 _TOP = "greatest(" + ", ".join(f"n{i}" for i in range(len(_LABELS))) + ")"
 _LABEL = "CASE " + " ".join(f"WHEN n{i} = {_TOP} THEN '{name}'" for i, name in enumerate(_LABELS)) + " END"
 _TOTAL = " + ".join(f"n{i}" for i in range(len(_LABELS)))
+_ROUTED = """
+    SELECT concat('A', letter, doc_id) AS id, CASE WHEN named THEN name ELSE '' END AS name, n_jobs
+    FROM page CROSS JOIN (VALUES ('', TRUE), ('t', TRUE), ('d', FALSE), ('p', TRUE)) r(letter, named)"""
 _TERMS = f"""
     SELECT DISTINCT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term
     FROM (SELECT {words('text')} AS ws FROM benchmark)"""
@@ -512,10 +515,11 @@ RAW: dict[str, str] = {
     "to_key_value": """
         SELECT id AS key, to_json({'id': id, 'text': company || ' in ' || location || ' is looking for a ' || title || ' whose experienced in '
                || array_to_string(skills, ' '), 'source': 'jobs_dataset'})::VARCHAR AS value FROM posting_record""",
-    "fanout_sinks": """
-        SELECT unnest(['schema_cv', 'text_cv', 'info_cv']) AS "table", concat('A', doc_id) AS id FROM page
-        UNION ALL SELECT unnest(['schema_job', 'text_job']), id FROM posting
-        UNION ALL SELECT 'quarantine', concat('Ax', CAST(doc_id AS VARCHAR)) FROM documents""",
+    "fanout_sinks": f"""
+        SELECT 'schema_cv' AS "table", id, CAST(n_jobs AS VARCHAR) AS value FROM ({_ROUTED})
+        UNION ALL SELECT 'text_cv', id, 'said' FROM ({_ROUTED}) UNION ALL SELECT 'info_cv', id, name FROM ({_ROUTED})
+        UNION ALL SELECT 'schema_job', id, title FROM posting UNION ALL SELECT 'text_job', id, 'said' FROM posting
+        UNION ALL SELECT 'quarantine', concat(letter, CAST(doc_id AS VARCHAR)), NULL FROM documents CROSS JOIN (VALUES ('Ax'), ('An')) q(letter)""",
     "stream_trigger_checkpoint": "SELECT DISTINCT sha256(text) AS content_hash FROM documents",
     "append_partitioned": "SELECT id[1] AS kind, count(*) AS n, sum(length(raw_data))::BIGINT AS chars FROM envelope GROUP BY id[1]",
     "compact_tables": "SELECT id, id[1] AS kind, md5(raw_data) AS digest, length(raw_data)::INT AS text_length FROM envelope",
