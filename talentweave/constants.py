@@ -43,20 +43,10 @@ UNDER_LEVEL_PENALTY = -0.05
 OVER_LEVEL_PENALTY = 0.15
 
 # --- dates
-MONTHS = [
-    "January", "February", "March", "April", "May", "June",
-    "July", "August", "September", "October", "November", "December",
-]
-DATE_POINTS = [
-    r"[0-2]\d{3}\s*[-]\s*[0-3]\d\s*[-]\s*[0-3]\d",
-    r"[0-2]\d\s*[-/ ]\s*[0-2]\d{3}",
-    r"[0-2]\d{3}",
-]
-MONTH_YEAR = r"\s+[0-2]\d{3}"
-RANGE_SIGN = r"\s*(?:to|[-–—])\s*"
+# A date, or two joined by "to" or a dash where the second may be an open end. The free-form résumés know one open end more.
+DATASET_DATE = r"(?iU)\b(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May(?:)?|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+[0-2]\d{3}|[0-2]\d{3}\s*[-]\s*[0-3]\d\s*[-]\s*[0-3]\d|[0-2]\d\s*[-/ ]\s*[0-2]\d{3}|[0-2]\d{3})(?:\s*(?:to|[-–—])\s*(?:(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May(?:)?|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+[0-2]\d{3}|[0-2]\d{3}\s*[-]\s*[0-3]\d\s*[-]\s*[0-3]\d|[0-2]\d\s*[-/ ]\s*[0-2]\d{3}|[0-2]\d{3})|Present|Current|Now))?\b"
+TEXT_DATE = r"(?iU)\b(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May(?:)?|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+[0-2]\d{3}|[0-2]\d{3}\s*[-]\s*[0-3]\d\s*[-]\s*[0-3]\d|[0-2]\d\s*[-/ ]\s*[0-2]\d{3}|[0-2]\d{3})(?:\s*(?:to|[-–—])\s*(?:(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May(?:)?|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+[0-2]\d{3}|[0-2]\d{3}\s*[-]\s*[0-3]\d\s*[-]\s*[0-3]\d|[0-2]\d\s*[-/ ]\s*[0-2]\d{3}|[0-2]\d{3})|Present|Current|Now|Today))?\b"
 YEAR_PATTERN = r"\b(19\d{2}|20\d{2})\b"
-DATASET_OPEN_ENDS = ["Present", "Current", "Now"]
-TEXT_OPEN_ENDS = ["Present", "Current", "Now", "Today"]
 ONGOING_WORDS = ["present", "current", "now", "today"]
 MIN_BARE_YEAR = 1970
 MAX_BARE_YEAR = 2030
