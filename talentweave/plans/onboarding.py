@@ -112,8 +112,8 @@ TABLES = ["quarantine", "schema", "text", "info", "embeddings"]
 def complete(spark: SparkSession, folder: str, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None) -> list[int]:
     """Write what the runs with committed envelopes still lack; gives the numbers of the runs that lacked something."""
     more = [find_mentions] if boxes is None else [find_mentions, boxes]
-    there = ledger.live(spark, folder)
-    lacking = {run: [t for t in TABLES if (run, t) not in {(r, n) for r, n, _ in there}] for run, name, _ in there if name == "envelopes"}
+    there = ledger.written(spark, folder)
+    lacking = {run: [t for t in TABLES if (run, t) not in there] for run, name in sorted(there) if name == "envelopes"}
     for run, tables in lacking.items():
         if not tables:
             continue
@@ -146,7 +146,7 @@ def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_ment
     fresh = spark.read.parquet(deduplicated)
     if fresh.isEmpty():
         return
-    run = 1 + max((r for r, _, _ in ledger.live(spark, folder)), default=0)
+    run = ledger.next_run(spark, folder)
     numbered = I.assign_doc_ids(fresh, "position", None if seen is None else seen.select("kind", "num"))
     _keep(numbered.drop("position", "error"), folder, run, "envelopes", "kind")
     complete(spark, folder, find_mentions, boxes)

@@ -8,7 +8,8 @@ them. One writer at a time may commit; readers need no lock.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,18 @@ def commit(spark: SparkSession, folder: str, run: int, added: dict[str, str], re
     table.select(F.current_timestamp().alias("at"), "*").coalesce(1).write.mode("append").json(f"{folder}/_ledger")
 
 
+def written(spark: SparkSession, folder: str) -> set[tuple[int, str]]:
+    """``(run, table)`` of every folder that was ever added by a run of its own, also if a merged folder took its place."""
+    rows = entries(spark, folder).groupBy("run").agg(
+        F.collect_set(F.when(F.col("action") == ADD, F.col("table"))).alias("tables"), F.count_if(F.col("action") == REMOVE).alias("gone"))
+    return {(r["run"], t) for r in rows.where("gone = 0").collect() for t in r["tables"]}
+
+
+def next_run(spark: SparkSession, folder: str) -> int:
+    """A number above that of every commit."""
+    return 1 + (entries(spark, folder).agg(F.max("run")).first()[0] or 0)
+
+
 def live(spark: SparkSession, folder: str) -> list[tuple[int, str, str]]:
     """``(run, table, path)`` of the folders that count, by run; paths are below ``folder``."""
     found = entries(spark, folder).groupBy("table", "path").agg(
@@ -50,3 +63,35 @@ def read(spark: SparkSession, folder: str, table: str, ddl: str | None = None) -
         return None
     reader = spark.read.schema(ddl) if ddl else spark.read
     return reader.option("basePath", f"{folder}/{table}").parquet(*paths)
+
+
+@contextmanager
+def packed_scans(spark: SparkSession, file_bytes: int) -> Iterator[None]:
+    """Let scans pack files by size into partitions of about ``file_bytes``, so that a write after it needs no shuffle to merge them."""
+    wanted = {"spark.sql.files.maxPartitionBytes": str(file_bytes), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def compact(spark: SparkSession, folder: str, table: str, *partition: str, file_bytes: int = 128 << 20) -> int:
+    """Put the rows of all folders of a table into one new folder of larger files, and swap them in one commit; gives its run.
+
+    A reader that listed the folders before the commit reads the old ones, which stay on disk, and one that lists them later the new one.
+    A run that breaks off before the commit leaves a folder that doesn't count.
+    """
+    old = [p for _, t, p in live(spark, folder) if t == table]
+    run = next_run(spark, folder)
+    target = f"{table}/run={run}"
+    with packed_scans(spark, file_bytes):
+        read(spark, folder, table).drop("run").write.mode("overwrite").partitionBy(*partition).parquet(f"{folder}/{target}")
+    commit(spark, folder, run, {table: target}, [(table, p) for p in old])
+    return run

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talentweave import constants as K
 from talentweave.schemas import ENVELOPE, parsed
+from talentweave.sources.ledger import packed_scans
 
 ROWS_PER_FILE = 1_000_000
 
@@ -59,12 +60,14 @@ def read_table_partitions(spark: SparkSession, path: str, prefix: str, ddl: str)
     return table.where(F.col("kind") == prefix).drop("kind")
 
 
-def compact_tables(spark: SparkSession, path: str, target: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Write the table to a new folder in files of about ``rows_per_file`` rows; the old one stays untouched."""
-    table = spark.read.parquet(path)
-    files = max(1, -(-table.count() // rows_per_file))
-    # Round-robin keeps the files even, whatever the share of a kind.
-    table.repartition(files).write.mode("errorifexists").partitionBy("kind").parquet(target)
+def compact_tables(spark: SparkSession, path: str, target: str, file_bytes: int = 128 << 20) -> DataFrame:
+    """Write the table to a new folder in files of about ``file_bytes``; the old one stays untouched.
+
+    The scan packs files by their sizes into tasks and each task writes what it read: no count, no shuffle. Tables of a ledger
+    are merged in place by ``ledger.compact``.
+    """
+    with packed_scans(spark, file_bytes):
+        spark.read.parquet(path).write.mode("errorifexists").partitionBy("kind").parquet(target)
     return spark.read.parquet(target)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from talentweave.plans import onboarding
 from talentweave.sources import ledger
+from talentweave.sources import tables as ST
 
 
 def described(path, names, source="json_dataset", suffix="jsonl", broken=0):
@@ -100,3 +101,39 @@ def test_removed_folders_are_not_read(spark, tmp_path):
     assert ledger.read(spark, folder, "t").count() == 1
     ledger.commit(spark, folder, 3, {"t": "t/run=3"}, [("t", "t/run=1")])
     assert ledger.read(spark, folder, "t").count() == 3
+
+
+def test_merged_folders_replace_the_others_in_one_step(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "tables")
+    monkeypatch.setattr(onboarding, "parse", quick_parse)
+    for names in (["ann", "bob"], ["cid"], ["dan", "eve"]):
+        onboarding.onboard(spark, [described(tmp_path, names, broken=1)], folder)
+    before = state(spark, folder)
+    held = ledger.read(spark, folder, "text")
+    with monkeypatch.context() as patched:
+        break_at(patched, 1, after=False)  # the folder is written, the commit is not
+        with pytest.raises(Broken):
+            ledger.compact(spark, folder, "text", "kind")
+    assert state(spark, folder) == before
+    ledger.compact(spark, folder, "text", "kind")
+    ledger.compact(spark, folder, "envelopes", "kind")
+    assert [(t, len([1 for _, n, _ in ledger.live(spark, folder) if n == t])) for t in ("text", "envelopes", "schema")] == [("text", 1), ("envelopes", 1), ("schema", 3)]
+    assert state(spark, folder) == before and held.count() == len(before[2])
+    files = [f for f in ledger.read(spark, folder, "text").inputFiles()]
+    assert len(files) == 1
+    # Onboarding goes on behind merged folders: nothing is written twice, numbers go on.
+    onboarding.onboard(spark, [described(tmp_path, ["ann", "fay"], broken=1)], folder)
+    after = state(spark, folder)
+    assert len(after[0]) == len(set(after[0])) == len(before[0]) + 1 and len(set(after[1])) == len(after[1])
+
+
+def test_merging_needs_no_shuffle(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'A', 'B') as kind").repartition(20).write.partitionBy("kind").parquet(path)
+    with ledger.packed_scans(spark, 64 << 20):
+        table = spark.read.parquet(path)
+        assert table.rdd.getNumPartitions() == 1
+    merged = ST.compact_tables(spark, path, str(tmp_path / "few"))
+    assert merged.count() == 1000 and len(merged.inputFiles()) == 2
+    with ledger.packed_scans(spark, 20_000):
+        assert 1 < spark.read.parquet(path).rdd.getNumPartitions() < 40
