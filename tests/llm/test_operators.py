@@ -290,6 +290,24 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+@pytest.mark.parametrize("size", [15, 25, 40, 60, 100])
+def test_leaks_recall_by_kind_of_edit(size):
+    """A fifth of an item's words deleted, inserted, replaced or mixed: 99 of 100 passages are found, 40 of each kind."""
+    rng = random.Random(size)
+    fresh = (f"w{i}" for i in range(10**9))
+    items, texts = [], []
+    for trial in range(160):
+        words = [next(fresh) for _ in range(size)]
+        items.append((trial, leaks.words_of(" ".join(words))))
+        for _ in range(leaks.allowed(size)):
+            kind = ("delete", "insert", "replace")[trial % 4 if trial % 4 < 3 else rng.randrange(3)]
+            at = rng.randrange(len(words))
+            words[at:at + (kind != "insert")] = [] if kind == "delete" else [next(fresh)]
+        texts.append(" ".join([*(next(fresh) for _ in range(20)), *words, *(next(fresh) for _ in range(30))]))
+    found = {(m[0], m[1]) for m in leaks.matches(texts, leaks.Items(items))}
+    assert all(a == b for a, b in found) and len(found) >= 0.99 * len(items)
+
+
 def test_leaks_with_and_without_edits(spark, docs, none):
     items = [(i, prose(14 + 3 * i, 700 + i)) for i in range(14)]
     rows, want = [], set()
