@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from talentweave import constants as K
 from talentweave.functions import text as T
 from talentweave.schemas import POSTING_CSV
+from talentweave.sources.ranges import RANGE_BYTES, file_records
 
 CORRUPT = "_corrupt_record"
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
@@ -20,21 +21,33 @@ def read_jsonl(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(f"{ddl}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def read_json_doc(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Files that hold one object or a list of objects each; lists become rows."""
-    schema = f"{ddl}, {CORRUPT} string"
-    return spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", True).json(path)
+def read_json_doc(spark: SparkSession, path: str, ddl: str, step: int = RANGE_BYTES) -> DataFrame:
+    """Files that hold one object or a list of objects each; lists become rows. Large files are read by several tasks."""
+    schema = StructType.fromDDL(f"{ddl}, {CORRUPT} string")
+    parsed = F.from_json("record", schema, {"columnNameOfCorruptRecord": CORRUPT})
+    return file_records(spark, path, "json", step).select(parsed.alias("r")).select("r.*")
 
 
-def read_csv_column(spark: SparkSession, path: str, column: str = K.DEFAULT_CSV_COLUMN) -> DataFrame:
+def _csv_rows(spark: SparkSession, path: str, step: int) -> DataFrame:
+    """Text columns by the header of the first file. Large files are read by several tasks; fields may hold line ends."""
+    names = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    if not names:
+        return spark.read.options(**CSV_OPTIONS).csv(path)
+    # Fields by place, as names may hold any characters.
+    ddl = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = F.from_csv("record", F.lit(ddl), {"escape": '"', "quote": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    rows = file_records(spark, path, "csv", step).where("pos > 0").select(parsed.alias("r"))
+    return rows.select(*[F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)])
+
+
+def read_csv_column(spark: SparkSession, path: str, column: str = K.DEFAULT_CSV_COLUMN, step: int = RANGE_BYTES) -> DataFrame:
     """``raw_data`` from one text column of a CSV with header; null becomes empty."""
-    rows = spark.read.options(**CSV_OPTIONS).csv(path)
-    return rows.select(F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("raw_data"))
+    return _csv_rows(spark, path, step).select(F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("raw_data"))
 
 
-def read_posting_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_posting_csv(spark: SparkSession, path: str, step: int = RANGE_BYTES) -> DataFrame:
     """The posting columns by their names in the header, in any order and beside others; a missing one is null."""
-    rows = spark.read.options(**CSV_OPTIONS).csv(path)
+    rows = _csv_rows(spark, path, step)
     return rows.select(*[
         (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(POSTING_CSV)
     ])
@@ -59,10 +72,10 @@ def _jsonl_envelope(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 def _json_envelope(spark: SparkSession, path: str, column: str) -> DataFrame:
-    # A string field keeps a nested object as its JSON text.
-    body = spark.read.text(path, wholetext=True).select(T.strip(F.col("value")).alias("value"))
-    listed = F.from_json(F.when(F.startswith("value", F.lit("[")), F.col("value")), "array<string>")
-    return body.select(F.explode(F.coalesce(listed, F.array("value"))).alias("raw_data"))
+    # A string field keeps a nested object as its JSON text; an item that is no JSON stays as it is.
+    listed = F.from_json(F.concat(F.lit("["), "record", F.lit("]")), "array<string>")
+    item = F.when(F.size(listed) == 1, F.get(listed, F.lit(0))).otherwise(F.col("record"))
+    return file_records(spark, path, "json").select(F.when(F.col("pos") == 0, F.col("record")).otherwise(item).alias("raw_data"))
 
 
 def _text_envelope(spark: SparkSession, path: str, column: str) -> DataFrame:
