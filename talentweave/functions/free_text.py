@@ -63,8 +63,11 @@ def keyword_label(content: Column) -> Column:
     return T.let(T.let(F.lower(content), count), decide)
 
 
-def section_list(parts: Column) -> Column:
-    """``(heading, section, content)`` per non-empty section, from ``split(marked, OPEN)`` in its own column."""
+def section_list(parts: Column, by_keywords: bool = True) -> Column:
+    """``(heading, section, content)`` per non-empty section, from ``split(marked, OPEN)`` in its own column.
+
+    Without ``by_keywords`` a heading that names no section leaves its section null.
+    """
     names = F.create_map(*[F.lit(x) for pair in K.SECTION_OF_HEADING.items() for x in pair])
 
     def one(x: Column, i: Column) -> Column:
@@ -73,7 +76,10 @@ def section_list(parts: Column) -> Column:
         return T.let(split, lambda s: F.struct(
             s["heading"].alias("heading"),
             F.when(i == 0, F.lit("Header")).otherwise(
-                F.coalesce(F.try_element_at(names, F.coalesce(s["heading"], F.lit(""))), keyword_label(s["content"]))
+                F.coalesce(
+                    F.try_element_at(names, F.coalesce(s["heading"], F.lit(""))),
+                    keyword_label(s["content"]) if by_keywords else F.lit(None),
+                )
             ).alias("section"),
             s["content"].alias("content"),
         ))

@@ -16,7 +16,7 @@ from talentweave import constants as K
 from talentweave.functions import free_text as FT
 from talentweave.functions import text as T
 from talentweave.operators.dates import located
-from talentweave.operators.lines import sections_of_text
+from talentweave.operators.lines import LabelSections, sections_of_text
 
 NEAR_MENTION = 250
 #: Kinds of mentions by the section whose text they are spans of.
@@ -213,14 +213,16 @@ def professional_title_text(docs: DataFrame, text: str = "text", mentions: DataF
     return found.select("doc_id", T.clean_field(title).alias("title"))
 
 
-def parse_resume_text(docs: DataFrame, text: str = "text", mentions: DataFrame | None = None) -> DataFrame:
+def parse_resume_text(
+    docs: DataFrame, text: str = "text", mentions: DataFrame | None = None, label_sections: LabelSections | None = None
+) -> DataFrame:
     """Free-form documents in the common résumé schema; empty texts give the default record.
 
-    One projection over the row of a document: nothing is shuffled, whatever the skew of the input. With ``mentions``
-    one join by document comes before.
+    One projection over the row of a document: nothing is shuffled, whatever the skew of the input. With ``mentions``, and with
+    ``label_sections`` for headings that name no section, one join by document comes before.
     """
     empty = F.coalesce(T.strip(F.col(text)), F.lit("")).isin("", "nan")
-    sections = sections_of_text(docs, text)
+    sections = sections_of_text(docs, text, label_sections)
     rest = [c for c in docs.columns if c != text]
     sections, said = with_mentions(sections, mentions), [] if mentions is None else ["_said"]
     parts = sections.select(

@@ -23,6 +23,7 @@ from talentweave.operators import restructure as J
 from talentweave.operators import routing as Q
 from talentweave.operators.dataset_text import parse_resume_dataset
 from talentweave.operators.free_text import parse_resume_text, section_mentions
+from talentweave.operators.lines import LabelSections
 from talentweave.operators.profile import parse_resume_profile
 from talentweave.schemas import POSTING_CSV
 from talentweave.session import fresh_path
@@ -42,10 +43,10 @@ def _parse_json(df: DataFrame) -> DataFrame:
     return J.resume_json_to_schema(df.select("id", "source", "raw_data"))
 
 
-def _parse_free_text(df: DataFrame, find_mentions: FindMentions | None = None) -> DataFrame:
+def _parse_free_text(df: DataFrame, find_mentions: FindMentions | None = None, label_sections: LabelSections | None = None) -> DataFrame:
     docs = df.select(F.col("id").alias("doc_id"), "source", F.col("raw_data").alias("text"))
     mentions = None if find_mentions is None else section_mentions(docs, find_mentions)
-    return parse_resume_text(docs, mentions=mentions).withColumnRenamed("doc_id", "id")
+    return parse_resume_text(docs, mentions=mentions, label_sections=label_sections).withColumnRenamed("doc_id", "id")
 
 
 def _parse_dataset(df: DataFrame) -> DataFrame:
@@ -64,13 +65,16 @@ def _parse_profile(df: DataFrame, boxes: DataFrame) -> DataFrame:
 PARSERS = {"posting": _parse_postings, "json": _parse_json, "text": _parse_free_text, "dataset": _parse_dataset}
 
 
-def parse(envelopes: DataFrame, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None) -> DataFrame:
+def parse(
+    envelopes: DataFrame, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None,
+    label_sections: LabelSections | None = None,
+) -> DataFrame:
     """Envelopes of all routes in one table with feature text; failed records have an ``error``.
 
     ``boxes`` are the text boxes of profile exports; without them that route has no parser. Each parser is planned once; kind and error
     decide in the row what its text is.
     """
-    parsers = PARSERS | {"text": lambda df: _parse_free_text(df, find_mentions)}
+    parsers = PARSERS | {"text": lambda df: _parse_free_text(df, find_mentions, label_sections)}
     if boxes is not None:
         parsers |= {"profile": lambda df: _parse_profile(df, boxes)}
     rows = Q.parse_by_route(envelopes, parsers).withColumn("kind", F.left("id", F.lit(1)))
@@ -109,16 +113,19 @@ def _outputs(parsed: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
 TABLES = ["quarantine", "schema", "text", "info", "embeddings"]
 
 
-def complete(spark: SparkSession, folder: str, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None) -> list[int]:
+def complete(
+    spark: SparkSession, folder: str, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None,
+    label_sections: LabelSections | None = None,
+) -> list[int]:
     """Write what the runs with committed envelopes still lack; gives the numbers of the runs that lacked something."""
-    more = [find_mentions] if boxes is None else [find_mentions, boxes]
+    more = {name: x for name, x in [("boxes", boxes), ("label_sections", label_sections)] if x is not None}
     there = ledger.written(spark, folder)
     lacking = {run: [t for t in TABLES if (run, t) not in there] for run, name in sorted(there) if name == "envelopes"}
     for run, tables in lacking.items():
         if not tables:
             continue
         parsed_path = fresh_path(spark, "parsed")
-        parse(spark.read.parquet(f"{folder}/envelopes/run={run}"), *more).write.parquet(parsed_path)
+        parse(spark.read.parquet(f"{folder}/envelopes/run={run}"), find_mentions, **more).write.parquet(parsed_path)
         outputs = _outputs(spark.read.parquet(parsed_path))
         for table in tables:
             df, partition = outputs[table]
@@ -126,13 +133,16 @@ def complete(spark: SparkSession, folder: str, find_mentions: FindMentions | Non
     return [run for run, tables in lacking.items() if tables]
 
 
-def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None) -> None:
+def onboard(
+    spark: SparkSession, descriptors: list[dict], folder: str, find_mentions: FindMentions | None = None, boxes: DataFrame | None = None,
+    label_sections: LabelSections | None = None,
+) -> None:
     """Read, number, de-duplicate against what is there, parse and append; a repeated file adds nothing.
 
     ``find_mentions`` gives mentions ``(doc_id, start, kind, value)`` of the sections ``(doc_id, text)`` of free-form résumés;
-    ``boxes`` the text boxes of profile exports by id.
+    ``boxes`` the text boxes of profile exports by id; ``label_sections`` names sections of free-form résumés whose heading says nothing.
     """
-    complete(spark, folder, find_mentions, boxes)
+    complete(spark, folder, find_mentions, boxes, label_sections)
     landed = fresh_path(spark, "landed")
     # Written first: the position of a record is part of the files and must not change between the steps.
     ingest_union(spark, descriptors).withColumn("position", F.monotonically_increasing_id()).write.parquet(landed)
@@ -149,7 +159,7 @@ def onboard(spark: SparkSession, descriptors: list[dict], folder: str, find_ment
     run = ledger.next_run(spark, folder)
     numbered = I.assign_doc_ids(fresh, "position", None if seen is None else seen.select("kind", "num"))
     _keep(numbered.drop("position", "error"), folder, run, "envelopes", "kind")
-    complete(spark, folder, find_mentions, boxes)
+    complete(spark, folder, find_mentions, boxes, label_sections)
 
 
 def match(

@@ -20,6 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talentweave.session import cut_lineage
+
 RANGE_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 #: Bytes read at a time past a range's end.
 FURTHER = 1 << 20
@@ -177,10 +179,12 @@ def file_records(spark: SparkSession, path: str, kind: str, step: int = RANGE_BY
     facts = ranges.repartition(tasks, "path", "at").mapInArrow(
         _facts(kind, step), "path string, at long, size long, quotes long, outside long, inside long, head long, odd long",
     )
+    facts = cut_lineage(facts)  # a row a range; the second pass looks at them more than once
     whole = Window.partitionBy("path").orderBy("at")
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     known = facts.withColumn("q", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).withColumn(
         "head", F.first("head", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ).withColumn("change", F.when(F.col("q") == 0, F.col("outside")).otherwise(F.col("inside")))
     states = known.select("path", "at", "size", "q", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("depth"), "head", "odd")
-    return states.repartition(tasks, "path", "at").mapInArrow(_reader(kind, step), RECORD)
+    # Records come in the order of the files.
+    return states.repartitionByRange(tasks, "path", "at").sortWithinPartitions("path", "at").mapInArrow(_reader(kind, step), RECORD)
