@@ -1,5 +1,8 @@
 """Steps whose work has to grow no faster than their input."""
 
+from pyspark.sql import functions as F
+
+from talentweave.functions import dataset_text as DT
 from talentweave.operators import dataset_text as XD
 from talentweave.operators import free_text as XT
 from talentweave.plans import catalog
@@ -21,3 +24,11 @@ def test_contents_parse_each_document_once(spark, texts, tmp_path):
         found = [tuple(r) for r in rows.where("doc_id = 0").orderBy("part", "pos").collect()]
         assert len(found) == n and [r[1:4] for r in found if r[1] == "skill"] == [("skill", 0, "bread"), ("skill", 1, "soup")]
         assert rows.schema["pos"].dataType.simpleString() == "int"
+
+
+def test_merged_mentions_make_their_list_once(spark):
+    said = "array<struct<start: int, end: int, kind: string, value: string>>"
+    rows = spark.createDataFrame([([(0, 3, "ORG", "Big"), (4, 7, "ORG", "Inn"), (20, 24, "X", "Cook")],)], f"said {said}")
+    merged = rows.select(DT.merged_mentions(F.filter("said", lambda m: m["kind"] != "none")).alias("m"))
+    assert plan_of(merged).count("none") == 1
+    assert [tuple(m) for m in merged.first()["m"]] == [(0, 7, "ORG", "Big Inn"), (20, 24, "X", "Cook")]
