@@ -1,11 +1,14 @@
 """Steps whose work has to grow no faster than their input."""
 
+import shutil
+
 from pyspark.sql import functions as F
 
 from talentweave.functions import dataset_text as DT
 from talentweave.operators import dataset_text as XD
 from talentweave.operators import free_text as XT
 from talentweave.plans import catalog
+from talentweave.plans.views import Views
 
 FREE = "Name: Ann Lee\nWORK EXPERIENCE\nCook | Big Inn\n2001 - 2003\nBaker | Old Mill\n2004 - 2006\nSKILLS\nbread, soup"
 RUN_ON = "COOK       Summary    Hands-on.    Experience    Big Inn  Cook  2001 - 2003    Skills    bread, soup"
@@ -32,3 +35,14 @@ def test_merged_mentions_make_their_list_once(spark):
     merged = rows.select(DT.merged_mentions(F.filter("said", lambda m: m["kind"] != "none")).alias("m"))
     assert plan_of(merged).count("none") == 1
     assert [tuple(m) for m in merged.first()["m"]] == [(0, 7, "ORG", "Big Inn"), (20, 24, "X", "Cook")]
+
+
+def test_views_share_one_pass_over_the_lines(spark, tmp_path, monkeypatch):
+    folder, joins, lines = str(shutil.copytree("/root/testdata/sf0.001", tmp_path / "data")), [], Views.sel_lines
+    monkeypatch.setattr(Views, "sel_lines", lambda self: joins.append(1) or lines(self))
+    v = Views(spark, folder)
+    for name in ("profile_skill", "posting_skill", "profile_title", "posting", "resume_page"):
+        assert v.written(name).count() == getattr(v, name)().count() if name != "resume_page" else v.written(name).count() > 0
+        if name == "profile_skill":
+            joins.clear()
+    assert len(joins) == 3  # the three plain views above that have lines
