@@ -46,3 +46,9 @@ def test_views_share_one_pass_over_the_lines(spark, tmp_path, monkeypatch):
         if name == "profile_skill":
             joins.clear()
     assert len(joins) == 3  # the three plain views above that have lines
+
+
+def test_page_files_are_made_by_several_tasks(spark):
+    path = catalog._landed_pages(Views(spark, "/root/testdata/sf0.001"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("task"))
+    assert files.distinct().count() > 1 and files.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
