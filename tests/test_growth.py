@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talentweave.functions import dataset_text as DT
 from talentweave.operators import dataset_text as XD
 from talentweave.operators import free_text as XT
+from talentweave.operators import matching as M
 from talentweave.plans import catalog
 from talentweave.plans.views import Views
 
@@ -52,3 +53,12 @@ def test_page_files_are_made_by_several_tasks(spark):
     path = catalog._landed_pages(Views(spark, "/root/testdata/sf0.001"))
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("task"))
     assert files.distinct().count() > 1 and files.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_small_blocks_do_not_send_each_vector_once_per_block(spark):
+    vectors = spark.range(240).select(F.col("id").alias("num"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    many, one = M.knn_blocked(vectors, vectors, 3, 2, 2), M.knn_blocked(vectors, vectors, 3)
+    # A vector is sent once per block of the other side: a bounded number of times until blocks are full.
+    assert [M._block_count(n, 200, M.QUERY_BLOCK, 12) for n in (0, 250, 16_000, 320_000)] == [1, 2, 12, 20]
+    assert [M._block_count(n, 300, M.DOCUMENT_BLOCK, M.MIN_DOCUMENT_BLOCKS) for n in (250, 16_000, 1_000_000)] == [1, 4, 8]
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
