@@ -62,3 +62,8 @@ def test_small_blocks_do_not_send_each_vector_once_per_block(spark):
     assert [M._block_count(n, 200, M.QUERY_BLOCK, 12) for n in (0, 250, 16_000, 320_000)] == [1, 2, 12, 20]
     assert [M._block_count(n, 300, M.DOCUMENT_BLOCK, M.MIN_DOCUMENT_BLOCKS) for n in (250, 16_000, 1_000_000)] == [1, 4, 8]
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_topics_read_what_was_parsed_once(spark):
+    # One scan for each of the five topics, instead of one of every input for each.
+    assert plan_of(catalog._processed_messages(Views(spark, "/root/testdata/sf0.001"))).count("Relation [") == 5
