@@ -8,8 +8,10 @@ from talentweave.functions import dataset_text as DT
 from talentweave.operators import dataset_text as XD
 from talentweave.operators import free_text as XT
 from talentweave.operators import matching as M
-from talentweave.plans import catalog
+from talentweave.plans import catalog, onboarding
 from talentweave.plans.views import Views
+from talentweave.schemas import ENVELOPE
+from talentweave.streaming import intake as SP
 
 FREE = "Name: Ann Lee\nWORK EXPERIENCE\nCook | Big Inn\n2001 - 2003\nBaker | Old Mill\n2004 - 2006\nSKILLS\nbread, soup"
 RUN_ON = "COOK       Summary    Hands-on.    Experience    Big Inn  Cook  2001 - 2003    Skills    bread, soup"
@@ -67,3 +69,16 @@ def test_small_blocks_do_not_send_each_vector_once_per_block(spark):
 def test_topics_read_what_was_parsed_once(spark):
     # One scan for each of the five topics, instead of one of every input for each.
     assert plan_of(catalog._processed_messages(Views(spark, "/root/testdata/sf0.001"))).count("Relation [") == 5
+
+
+def test_batches_are_dealt_out_before_they_are_parsed(spark, tmp_path):
+    rows = [(f"A{i}", "text", "elsewhere", "xml", "cv") for i in range(400)]
+    batch, seen = spark.createDataFrame(rows, ENVELOPE).coalesce(1), []
+
+    def parse(held):
+        seen.extend(r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect())
+        return onboarding.parse(held)
+
+    SP.fanout_sinks(parse, str(tmp_path))(batch, 0)
+    assert len(seen) >= 4 and max(seen) <= 110 and sum(seen) == 400
+    assert spark.read.parquet(f"{tmp_path}/quarantine").count() == 400
