@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from talentweave.functions import dataset_text as DT
 from talentweave.operators import dataset_text as XD
 from talentweave.operators import free_text as XT
+from talentweave.operators import identity as I
 from talentweave.operators import matching as M
+from talentweave.operators import mentions as N
 from talentweave.plans import catalog, onboarding
 from talentweave.plans.views import Views
 from talentweave.schemas import ENVELOPE
@@ -82,3 +84,26 @@ def test_batches_are_dealt_out_before_they_are_parsed(spark, tmp_path):
     SP.fanout_sinks(parse, str(tmp_path))(batch, 0)
     assert len(seen) >= 4 and max(seen) <= 110 and sum(seen) == 400
     assert spark.read.parquet(f"{tmp_path}/quarantine").count() == 400
+
+
+def test_words_of_a_text_are_made_once(spark, texts, tmp_path):
+    long = " ".join(f"w{i}" for i in range(431))
+    texts(long, "", None, " a  bc ").write.parquet(str(tmp_path / "texts"))
+    windows = N.token_windows(spark.read.parquet(str(tmp_path / "texts")).repartition(3), N.spaced_words(F.col("text")))
+    assert plan_of(windows).count("split(") == 1
+    for row in N.token_starts(windows).collect():
+        text = long if row.doc_id == 0 else "a bc"
+        assert len(row.starts) == len(row.tokens) + 1 and row.starts[-1] == row.offset + sum(map(len, row.tokens))
+        assert all(text[at:].startswith(word.strip()) for at, word in zip(row.starts, row.tokens))
+    assert windows.count() == 4
+
+
+def test_repeated_mentions_go_in_one_shuffle(spark):
+    spans = [(d, s, None if s is None else s + 2) for d in (1, 2, None) for s in (0, 3, None)]
+    said = [("A", "x"), ("B", "x"), ("A", "y"), ("A", None)]
+    rows = spark.createDataFrame([(*span, *m) for span in spans for m in said * 2], "doc_id int, start int, end int, kind string, value string")
+    found = I.dedup_mentions(rows)
+    assert set(map(tuple, found.collect())) == {(*span, *m) for span in spans for m in said if m[0] != "B"} and found.count() == 27
+    merged = N.merge_mentions(found).groupBy("doc_id").count()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
