@@ -1,9 +1,13 @@
 """Steps whose work has to grow no faster than their input."""
 
+import random
+import re
 import shutil
+import time
 
 from pyspark.sql import functions as F
 
+from talentweave import constants as K
 from talentweave.functions import dataset_text as DT
 from talentweave.operators import dataset_text as XD
 from talentweave.operators import free_text as XT
@@ -107,3 +111,25 @@ def test_repeated_mentions_go_in_one_shuffle(spark):
     merged = N.merge_mentions(found).groupBy("doc_id").count()
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_title_and_company_around_a_bar_are_found_in_one_pass():
+    plain, r = re.compile(r"([^\n\|]+)\s*\|\s*([^\n]+)"), random.Random(3)
+    fast = re.compile(K.TITLE_BAR_COMPANY)
+    for _ in range(20_000):
+        window = "".join(r.choices("ab |\n\t", (3, 2, 3, 2, 2, 1), k=r.randint(0, 14)))
+        assert [m and m.groups() for m in (fast.search(window),)] == [m and m.groups() for m in (plain.search(window),)]
+    begin = time.perf_counter()
+    assert not fast.search("x " * 20_000)  # the plain form needs minutes
+    assert time.perf_counter() - begin < 5
+
+
+def test_dates_and_mentions_are_made_once_for_titles_and_companies(spark, texts, tmp_path):
+    path = str(tmp_path / "texts")
+    texts("Ann\nEXPERIENCE\nbig inn cook\n2001 - 2003\nBaker | Old Mill\n2004 - 2006\nno one near\n2007", "nothing").write.parquet(path)
+    docs = spark.read.parquet(path)
+    said = [(0, 0, 7, "COMPANY_NAME", "big inn"), (0, 8, 12, "JOB_TITLE", "cook"), (0, 90, 95, "CITY", "Oslo"), (0, 9000, 9004, "JOB_TITLE", "chef")]
+    found = XT.link_title_company_text(docs, spark.createDataFrame(said, "doc_id bigint, start int, end int, kind string, value string"))
+    assert plan_of(found).count("Relation [") == 1
+    assert [tuple(r) for r in found.orderBy("pos").collect()] == [
+        (0, 0, "cook", "big inn", "2001 - 2003"), (0, 1, "Baker", "Old Mill", "2004 - 2006"), (0, 2, "cook", "big inn", "2007")]
