@@ -4,7 +4,10 @@ import random
 import re
 import shutil
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from talentweave import constants as K
@@ -133,3 +136,18 @@ def test_dates_and_mentions_are_made_once_for_titles_and_companies(spark, texts,
     assert plan_of(found).count("Relation [") == 1
     assert [tuple(r) for r in found.orderBy("pos").collect()] == [
         (0, 0, "cook", "big inn", "2001 - 2003"), (0, 1, "Baker", "Old Mill", "2004 - 2006"), (0, 2, "cook", "big inn", "2007")]
+
+
+def test_search_of_a_block_holds_little_beside_its_vectors():
+    rng = np.random.default_rng(2)
+    docs, queries = rng.standard_normal((60_000, 64)).astype(np.float32), rng.standard_normal((300, 64)).astype(np.float32)
+    docs[500:1500] = docs[0]  # many ties
+    column = pa.array(list(docs[:1000]), pa.list_(pa.float32()))
+    assert M._matrix(column).dtype == np.float32 and (M._matrix(column) == docs[:1000]).all()
+    tracemalloc.start()
+    q, d, sim = M._top_k(queries, docs, np.arange(60_000), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    wide = M._top_k(queries.astype(np.float64), docs.astype(np.float64), np.arange(60_000), 50)
+    assert all((a == b).all() for a, b in zip((q, d, sim), wide))
