@@ -21,6 +21,8 @@ WORDS_KEPT, PIECES_KEPT = 700_000, 900_000
 #: splits them. Other words go through its own normalizer and splitter.
 PLAIN_WORD = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Marks that are a piece of their own behind letters.
+ENDINGS = frozenset(".,;:!?)")
 LETTERS = [chr(c) for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))]
 
 
@@ -61,13 +63,21 @@ class Encoder:
         ascii_word = word.isascii()
         if word.isprintable() if ascii_word else PLAIN_WORD.fullmatch(word):
             lower = word.lower()
-            parts = [lower] if lower.isalpha() else PIECES.findall(lower)
-            if not ascii_word:
-                parts = [p.translate(self.as_bytes) for p in parts]
+            if ascii_word and lower.isalpha():
+                parts = None
+                ids = self.pieces.get(lower) or self._piece(lower)
+            elif ascii_word and lower[-1:] in ENDINGS and lower[:-1].isalpha():
+                parts, bare, ending = None, lower[:-1], lower[-1]
+                ids = (self.pieces.get(bare) or self._piece(bare)) + (self.pieces.get(ending) or self._piece(ending))
+            else:
+                parts = [lower] if lower.isalpha() else PIECES.findall(lower)
+                if not ascii_word:
+                    parts = [p.translate(self.as_bytes) for p in parts]
         else:
             parts = [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))]
-        get = self.pieces.get
-        ids = b"".join([get(p) or self._piece(p) for p in parts])
+        if parts is not None:
+            get = self.pieces.get
+            ids = b"".join([get(p) or self._piece(p) for p in parts])
         if len(self.words) >= WORDS_KEPT:
             self.words.clear()
         self.words[word] = ids

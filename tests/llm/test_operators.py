@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -385,3 +386,12 @@ def test_pipeline_stages_take_effect(spark, docs, none):
     assert "<email>" in hidden["text"] and hidden["n_chars"] == len(hidden["text"])
     assert stages["packing"](spark, one, "").count() > 0
     assert stages["near dedup"](spark, none, "").count() == 0
+
+
+def test_distinct_terms_of_a_batch_are_those_of_its_rows():
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, 65_536 if i % 2 else 40, rng.integers(0, 90)).astype("<u2") for i in range(300)]
+    column = pa.array([r.tobytes() for r in rows], pa.binary())
+    for part, some in ((column, rows), (column.slice(17, 50), rows[17:67]), (column.slice(0, 0), [])):
+        terms, starts = packing.distinct_terms(part)
+        assert [terms[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [np.unique(r).tolist() for r in some]
