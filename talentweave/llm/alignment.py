@@ -12,6 +12,8 @@ vocabularies (some hundred thousand), whatever the corpus holds: this bounds the
 * Repeated rows each count and each give a row; ties for the best partner all count as best. No rows: none come out.
 * Only ``doc_id`` and ``text`` are read, so other columns can have any name. A null ``doc_id`` stays null.
 * A text is taken whole, however long; a batch is cut where its texts exceed ``CHUNK_BYTES`` together.
+* Links go to the second pass as 4-byte numbers in one binary value a document, and are summed ``LINKS_AT_ONCE`` at a time: a batch
+  of Spark holds thousands of documents, and as lists they took several times their size in the JVM and again in Python.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from talentweave.llm.common import table, worker_cache, written
 from talentweave.llm.tokens import tokenizer_path
 
 CHUNK_BYTES = 1 << 18
+LINKS_AT_ONCE = 1 << 18
 Encode = Callable[[list[str]], pa.ListArray]
 
 
@@ -198,7 +201,7 @@ def align_texts(sides: Sides, texts: list[str]) -> dict[str, object]:
 
 FOUND = pa.schema([
     ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()),
-    ("links", pa.list_(pa.int32())), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+    ("links", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -215,8 +218,32 @@ def _whole(arrays: dict[str, object], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], f.type) if f.name in arrays else pa.nulls(n, f.type) for f in FOUND], schema=FOUND)
 
 
+def _packed(links: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each document with its links, which end at ``ends`` among all."""
+    at = np.concatenate([[0], ends * 4]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(links.astype("<i4"))])
+
+
+def link_sums(packed: pa.Array, values: list[pa.Array]) -> list[np.ndarray]:
+    """For each of ``values``, which are known by pair number, the sum over each document's links."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int64 if pa.types.is_large_binary(packed.type) else np.int32)
+    offsets = offsets[packed.offset:packed.offset + len(packed) + 1].astype(np.int64)
+    ends = (offsets[1:] - offsets[0]) // 4
+    n = int(ends[-1]) if len(ends) else 0
+    links = np.frombuffer(_data(packed), "<i4", n, int(offsets[0])) if n else np.zeros(0, np.int32)
+    upto, before = np.zeros((len(values), len(ends)), np.int64), np.zeros(len(values), np.int64)
+    for at in range(0, n, LINKS_AT_ONCE):
+        part = pa.array(links[at:at + LINKS_AT_ONCE])
+        first, last = np.searchsorted(ends, [at, at + LINKS_AT_ONCE], "right")
+        for k, known in enumerate(values):
+            total = pc.cumulative_sum(known.take(part)).to_numpy(zero_copy_only=False) + before[k]
+            upto[k, first:last] = total[ends[first:last] - at - 1]
+            before[k] = total[-1]
+    return list(np.diff(upto, prepend=0))
+
+
 def link(docs: DataFrame, a_path: str, b_path: str, written_out: bool = False) -> DataFrame:
-    """A row for each document with its counts and ``links`` (pair numbers), and rows ``a``, ``b``, ``n`` with the counts of each task.
+    """A row for each document with its counts and ``links`` (pair numbers of 4 bytes), and rows ``a``, ``b``, ``n`` with the counts of each task.
 
     ``groups`` is the written form of the groups, or its SHA-256 unless ``written_out``.
     """
@@ -238,16 +265,15 @@ def link(docs: DataFrame, a_path: str, b_path: str, written_out: bool = False) -
                         shown[i] = (str(span, "ascii") if written_out else hashlib.sha256(span).hexdigest()) if len(span) else ""
                     grouped = pa.table({"pair": found["pair"]}).group_by("pair").aggregate([("pair", "count")])
                     counts[grouped["pair"].to_numpy()] += grouped["pair_count"].to_numpy()
-                ends = np.concatenate([[0], np.cumsum(out["n_links"])]).astype(np.int32)
-                values = pa.array(found["pair"] if found else np.zeros(0, np.int32))
-                yield _whole(out | {"groups": shown, "links": pa.ListArray.from_arrays(pa.array(ends), values)}, len(texts))
+                links = _packed(found["pair"] if found else np.zeros(0, np.int32), np.cumsum(out["n_links"]))
+                yield _whole(out | {"groups": shown, "links": links}, len(texts))
         seen = np.flatnonzero(counts)
         for k in range(0, len(seen), 65536):
             part = seen[k:k + 65536]
             a, b = np.divmod(sides.pairs[part], len(sides.b))
             yield _whole({"a": a.astype(np.int32), "b": b.astype(np.int32), "n": counts[part]}, len(part))
 
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<int>, a int, b int, n long"
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary, a int, b int, n long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -273,13 +299,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, written_out: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [pa.array(x) for x in sent.value]
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            at = lists.offsets.to_numpy().astype(np.int64)
-            pairs = lists.values.slice(at[0], at[-1] - at[0])
-            sums = []
-            for values in known:
-                total = np.concatenate([[0], pc.cumulative_sum(values.take(pairs)).to_numpy(zero_copy_only=False)])
-                sums.append(pa.array(total[at[1:] - at[0]] - total[at[:-1] - at[0]]))
+            sums = [pa.array(x) for x in link_sums(batch.column(batch.num_columns - 1), known)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *sums], names=[*batch.schema.names[:-1], "count_sum", "n_best"])
 
     whole = linked.where("a is null").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links")

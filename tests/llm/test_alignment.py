@@ -1,8 +1,11 @@
 """Token links against a plain loop over both token lists, corpus counts included."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -91,3 +94,32 @@ def test_the_short_way_makes_the_ids_of_the_library():
     texts = ["".join(chr(c) for c in range(k, k + 700) if not 0xD800 <= c < 0xE000) for k in range(0, 0x30000, 700)]
     texts += ["a" * 5000, "\n\n  \t x", "it's 'S 've'll 123abc", "<|endoftext|>x"]
     assert encode(texts).to_pylist() == [e.ids for e in library.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+
+
+def test_second_pass_holds_little_beside_its_batch():
+    """A batch of Spark holds 10,000 documents; sums over its links are made a part at a time, also over ends and empty documents."""
+    rng = np.random.default_rng(4)
+    known = [pa.array(rng.integers(0, 1 << 40, 5000)), pa.array(rng.integers(0, 2, 5000))]
+    sizes = rng.integers(0, 900, 10_000)
+    sizes[[0, 17, 18, -1]] = 0
+    sizes[40] = 3 * alignment.LINKS_AT_ONCE
+    links, ends = rng.integers(0, 5000, sizes.sum(), dtype=np.int32), np.cumsum(sizes)
+    packed = alignment._packed(links, ends)
+    before = pa.default_memory_pool().max_memory()
+    tracemalloc.start()
+    sums = alignment.link_sums(packed, known)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < packed.nbytes // 2 and pa.default_memory_pool().max_memory() - before < packed.nbytes // 2
+    for values, got_sums in zip(known, sums, strict=True):
+        total = np.concatenate([[0], np.cumsum(values.to_numpy()[links])])
+        assert (got_sums == np.diff(total[np.concatenate([[0], ends])])).all()
+        assert (alignment.link_sums(packed.slice(30, 50), [values])[0] == got_sums[30:80]).all()
+    empty = alignment._packed(np.zeros(0, np.int32), np.zeros(3, np.int64))
+    assert alignment.link_sums(empty, known)[0].tolist() == [0, 0, 0] and len(alignment.link_sums(empty.slice(0, 0), known)[0]) == 0
+
+
+def test_links_go_to_the_second_pass_as_binary(spark):
+    linked = alignment.link(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), *PATHS)
+    assert dict(linked.dtypes)["links"] == "binary"
+    assert {r.doc_id: (r.n_links, len(r.links)) for r in linked.where("a is null").collect()} == {1: (2, 8), 2: (0, 0)}
