@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentweave.llm.common import batched, rows_of, table, written
-from talentweave.llm.tokens import Encoder, tokenizer_path
+from talentweave.llm.tokens import Encoder, sliced, tokenizer_path
 from talentweave.llm.words import mixed
 
 WINDOW = 4096
@@ -46,13 +46,11 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-
-        def rows() -> Iterator[tuple]:
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
-                ids = encoder.encode(text)
-                yield doc_id, len(ids), ids.tobytes()
-
-        yield from batched(rows(), _doc_schema, 1024)
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                ids, starts = encoder.encode_all(part.column("text"))
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((starts * 2).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts)), packed], schema=_doc_schema)
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return chosen.mapInArrow(run, "doc_id long, n long, ids binary")

@@ -82,6 +82,34 @@ def test_words_encode_as_whole_texts():
         assert encoder.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_slices_of_texts_encode_as_whole_texts(monkeypatch):
+    library, calls = Tokenizer.from_file(tokens.tokenizer_path()), Counter()
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 2000)
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    encoder.pieces, encoder.words, whole = {}, {}, encoder._tokenized
+    monkeypatch.setattr(encoder, "_tokenized", lambda piece, as_bytes: (calls.update([piece]), whole(piece, as_bytes))[1])
+    fixed = [None, "", " ", "<|endoftext|>", "it's THE 日本語 <b> été,É", "x" * 3000, LONG[:3000], None, "¡ñ!\n\nñ\tb", "12a <", "\n"]
+    texts = fixed + [prose(60, i % 40).title() for i in range(200)] + fixed
+    batch = pa.RecordBatch.from_pydict({"skipped": [0] * len(texts), "text": texts})[3:]
+    parts = list(tokens.sliced(batch, "text"))
+    assert len(parts) > 5 and sum(p.num_rows for p in parts) == len(texts) - 3
+    found = []
+    for part in parts:
+        ids, starts = encoder.encode_all(part.column("text"))
+        found += [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert found == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[3:]]
+    # A piece that repeats in a slice or over slices is tokenized once.
+    assert max(calls[w] for w in VOCABULARY) == 1
+    # Stores that are full are emptied, also in the middle of a slice.
+    monkeypatch.setattr(tokens, "PIECES_KEPT", 7)
+    encoder.pieces.clear()
+    ids, starts = encoder.encode_all(batch.column("text"))
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == found
+    bare = tokens.Encoder(tokens.tokenizer_path(), None)
+    assert [x.tolist() for x in bare.encode_all(pa.array(["", None, "a b"]))] == [library.encode("a b").ids, [0, 0, 0, 2]]
+    assert [x.tolist() for x in bare.encode_all(pa.array([], pa.string()))] == [[], [0]]
+
+
 def test_one_of_equal_rows_stays(spark):
     rows = [(1, prose(40, 1), 7, "a"), (1, prose(40, 1), 8, "b"), (2, prose(40, 1), 7, "c"), (3, prose(40, 2), 7, "d"), (None, "", 1, "e"), (None, None, 1, "f"), (4, prose(40, 1) + " x", 7, "g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rows int, key string")
