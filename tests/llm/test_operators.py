@@ -404,6 +404,30 @@ def test_repeated_bytes_equal_brute_force(spark, docs, none, monkeypatch, hot):
     assert repeated_bytes.remove_repeats(none).count() == 0
 
 
+def test_rows_of_a_hot_gram_stay_in_many_tasks(spark, monkeypatch):
+    dealt, whole = {}, repeated_bytes.written
+
+    def kept(df, name):
+        dealt[name] = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()] if name == "shared" else None
+        return whole(df, name)
+
+    monkeypatch.setattr(repeated_bytes, "written", kept)
+    rows = [(i, "ab" * (700 + i) + prose(30, i)) for i in range(10)] + [(20, prose(120, 5)), (21, prose(120, 5) + "x"), (22, prose(120, 6))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    found = []
+    for least in (4096, 2, 1 << 30):
+        monkeypatch.setattr(repeated_bytes, "HOT_ROWS", least)
+        found.append({r["doc_id"]: repeated_bytes.removed_spans([(x["from"], x["to"]) for x in r["ranges"] or ()], 400) for r in repeated_bytes.remove_repeats(table).collect()})
+        if least == 4096:
+            assert sum(dealt["shared"]) > 5000 and max(dealt["shared"]) < 0.6 * sum(dealt["shared"])
+    assert found[0] == found[1] == found[2]
+    data = {d: t.encode() for d, t in rows}
+    counts = Counter(b[i:i + 400] for b in data.values() for i in range(len(b) - 399))
+    for d, b in data.items():
+        cover = {k for i in range(len(b) - 399) if counts[b[i:i + 400]] > 1 for k in range(i, i + 400)}
+        assert {k for x, y in found[0][d] for k in range(x, y)} == cover
+
+
 def test_pipeline_stages_take_effect(spark, docs, none):
     stages = dict(corpus_pipeline.STAGES)
     good = stages["quality rules"](spark, docs, "").cache()
