@@ -22,7 +22,7 @@ from talentweave.llm.common import worker_cache
 END_ID = 2
 WORDS_KEPT, PIECES_KEPT = 300_000, 900_000
 #: Bytes of texts that are cut into words at a time.
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 23
 #: Words of ASCII and the letters of Latin-1, which need no other normalizing than lower case, and how the tokenizer
 #: splits them (a line break ends a word). Other words go through its own normalizer and splitter.
 PLAIN_WORDS = "^[!-~À-ÖØ-öø-ÿ]*$"
