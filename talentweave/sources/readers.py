@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from talentweave import constants as K
 from talentweave.functions import text as T
 from talentweave.schemas import POSTING_CSV
+from talentweave.sources.files import whole_files
 from talentweave.sources.ranges import RANGE_BYTES, file_records
 
 CORRUPT = "_corrupt_record"
@@ -55,6 +56,8 @@ def read_posting_csv(spark: SparkSession, path: str, step: int = RANGE_BYTES) ->
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one record: ``raw_data`` and its ``path``."""
+    if (files := whole_files(spark, path, text=True)) is not None:
+        return files.select(F.col("content").cast("string").alias("raw_data"), "path")
     rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("value").alias("raw_data"), F.col("_metadata.file_path").alias("path"))
 
