@@ -64,7 +64,9 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_binary_base64(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one record: its bytes as base64 text and its ``path``."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = whole_files(spark, path, text=False)
+    if rows is None:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     # Depending on the session, base64 breaks its output into lines.
     return rows.select(F.replace(F.base64("content"), F.lit("\r\n"), F.lit("")).alias("raw_data"), "path")
 

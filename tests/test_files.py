@@ -33,9 +33,10 @@ def rows(df):
 
 def test_the_driver_lists_no_file(spark, tmp_path):
     path = put(tmp_path / "many", {f"k={i % 3}/{i}.txt": b"%d" % i for i in range(90)})
-    found = SR.read_text_files(spark, path)
-    assert len(found.inputFiles()) < 30 and found.count() == 90
-    union = SR.ingest_union(spark, [{"path": path, "source": "s", "type": "txt"}])
+    for read in (SR.read_text_files, SR.read_binary_base64):
+        found = read(spark, path)
+        assert len(found.inputFiles()) < 30 and found.count() == 90
+    union = SR.ingest_union(spark, [{"path": path, "source": "s", "type": "txt"}, {"path": path, "source": "s", "type": "pdf"}])
     assert len(union.inputFiles()) < 30
     assert sorted(r.raw_data for r in union.where("type = 'txt'").collect()) == sorted(str(i) for i in range(90))
 
